@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annogrid.llm import bpe, decontam, langid, quality
+from annogrid.llm import bpe, decontam, langid, quality, suffix_dedup
 from annogrid.llm.common import read_table
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(read_table(spark, sf_dir, "documents"), depth=100)
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = F.coalesce(quality.fold_of("doc_id", 3) == 1, F.lit(False))
@@ -59,6 +63,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_langid": op3_langid,
     "op6_decontam": op6_decontam,
     "op7_quality": op7_quality,
