@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annogrid.llm import bpe, decontam, langid, quality, suffix_dedup
+from annogrid.llm import bpe, decontam, langid, minhash, quality, suffix_dedup
 from annogrid.llm.common import read_table
 
 
@@ -21,6 +21,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
+
+
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
 
@@ -65,6 +69,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_langid": op3_langid,
+    "op4_minhash": op4_minhash,
     "op6_decontam": op6_decontam,
     "op7_quality": op7_quality,
     "op10_bpe": op10_bpe,
