@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annogrid.llm import bpe, decontam, langid, minhash, quality, suffix_dedup, topk
+from annogrid.llm import bpe, decontam, html_extract, langid, minhash, quality, suffix_dedup, topk
 from annogrid.llm.common import read_table
 
 
@@ -61,6 +61,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, net, threshold=0.7).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op6_decontam": op6_decontam,
     "op7_quality": op7_quality,
+    "op8_html": op8_html,
     "op9_topk": op9_topk,
     "op10_bpe": op10_bpe,
 }
