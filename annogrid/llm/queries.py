@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annogrid.llm import bpe, decontam, html_extract, langid, minhash, quality, suffix_dedup, topk
+from annogrid.llm import bpe, decontam, html_extract, langid, minhash, pii, quality, suffix_dedup, topk
 from annogrid.llm.common import read_table
 
 
+#: The pseudonyms' key; set ANNOGRID_PII_KEY for a secret of your own.
+PII_KEY = os.environ.get("ANNOGRID_PII_KEY", "a key for test data only").encode()
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(read_table(spark, sf_dir, "documents"), depth=100)
 
@@ -25,6 +31,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read_table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
 
@@ -91,6 +101,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_langid": op3_langid,
     "op4_minhash": op4_minhash,
+    "op5_pii": op5_pii,
     "op6_decontam": op6_decontam,
     "op7_quality": op7_quality,
     "op8_html": op8_html,

@@ -1,0 +1,76 @@
+import datetime
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from annogrid.llm import pii
+
+P = pii.Pseudonyms(b"test key")
+VALUES = [
+    ("card", "4111 1111 1111 1111"), ("card", "4485275742308327"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("iban", "DE89370400440532013000"), ("ssn", "078-05-1120"),
+    ("phone", "+1 (743) 555-3824"), ("phone", "743-555-3824"), ("phone", "+44 20 7946 0958"), ("ip", "152.143.23.131"), ("date", "2020-02-29"), ("date", "25/12/1999"),
+    ("date", "03/04/2001"), ("date", "31.01.1970"), ("date", "5 March 2020"), ("date", "Mar 5, 2020"), ("email", "jo.do.99@mail.example.com"), ("secret", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"),
+]
+
+
+@pytest.mark.parametrize(("kind", "value"), VALUES)
+def test_values_are_found_replaced_and_restored(kind, value):
+    text = f"Say {value}, or ({value}). {value}"
+    new, places = pii.replace(text, P)
+    assert [k for *_, k in places] == [kind] * 3 and value not in new
+    assert all(text[a:b] == value for a, b, _ in places)
+    other = new[4 : new.index(", or (")]
+    assert new.count(other) == 3
+    assert pii.replace(new, P, back=True)[0] == text
+    assert pii.replace(text, pii.Pseudonyms(b"another"))[0] != new
+
+
+def test_equal_numbers_stay_linked_across_notations():
+    a, b = (pii.replace(x, P)[0] for x in ("4485275742308327", "4485-2757-4230-8327"))
+    assert a == b.replace("-", "")
+    days = {pii.replace(x, P)[0] for x in ("2020-03-05", "2020/03/05")}
+    assert len({d.replace("/", "-") for d in days}) == 1
+
+
+@pytest.mark.parametrize("text", ["4111111111111112", "1.2.3", "999.1.1.1", "2021-02-30", "12345", "0.5", "GB00WEST12345698765432", "a@b", "version 3.0", "000-12-3456", "", "deadbeef"])
+def test_what_is_not_valid_stays(text):
+    assert pii.replace(text, P) == (text, [])
+
+
+def test_neighbours():
+    text = "4485275742308327 27.65.93.188 4485275742308327 4485275742308327"
+    assert [k for *_, k in pii.replace(text, P)[1]] == ["card", "ip", "card", "card"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 60), st.integers(1, 60))
+def test_permutation(value, left, right):
+    size = left * right
+    images = {P.permute(v, left, right, "t") for v in range(size)} if size < 400 else None
+    assert images is None or images == set(range(size))
+    v = value % size
+    assert P.permute(P.permute(v, left, right, "t"), left, right, "t", back=True) == v
+
+
+def test_days_and_checks():
+    rng = random.Random(3)
+    for _ in range(300):
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73049))
+        assert P.day(P.day(day), back=True) == day
+        body = "".join(rng.choice("0123456789") for _ in range(15))
+        number = body + str(pii.luhn(body))
+        new = P.pseudonym("card", number)
+        assert new is None or int(new[-1]) == pii.luhn(new[:-1]) and P.pseudonym("card", new, True) == number
+
+
+def test_documents(spark):
+    rows = [(1, "call 743-555-3824", "a"), (2, "CALL 743-555-3824 or 1.2.3.4", None), (3, None, "b"), (4, "", "c"), (None, "x " * 200000 + "743-555-3824", "d"), (1, "call 743-555-3824", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, values string")
+    out = pii.pseudonymise(docs, b"test key").collect()
+    by = {r.doc_id: r for r in out}
+    new = by[1].text[5:]
+    assert len(out) == 6 and by[2].text.startswith(f"CALL {new} or ") and [v.kind for v in by[2]["values"]] == ["phone", "ip"]
+    assert by[3].text is None and by[4].text == "" and by[None].text.endswith(new) and by[None].n_values == 1
+    assert pii.pseudonymise(docs.limit(0), b"k").count() == 0
