@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annogrid.llm import bpe, decontam, html_extract, langid, minhash, pii, quality, suffix_dedup, topk
+from annogrid.llm import bpe, decontam, html_extract, langid, minhash, pii, quality, suffix_dedup, topk, warc
 from annogrid.llm.common import read_table
 
 
@@ -16,6 +16,10 @@ from annogrid.llm.common import read_table
 PII_KEY = os.environ.get("ANNOGRID_PII_KEY", "a key for test data only").encode()
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.pages_to_responses(read_table(spark, sf_dir, "pages"))).drop("record")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(read_table(spark, sf_dir, "documents"), depth=100)
 
@@ -98,6 +102,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_langid": op3_langid,
     "op4_minhash": op4_minhash,
