@@ -5,11 +5,13 @@ smallest hashes. Inverted lists of retained values (runs of RUN values that foll
 values for tiny sets) give overlaps, the sketch of the union estimates the similarity and filters, and the exact
 Jaccard similarity of the full sets confirms. Components are the connected components of the confirmed links.
 
-No group is expanded into all pairs. Documents with equal sets are one representative. Overlaps are sought twice: first
-each member of a list meets the list's leader only, by way of the leader within its part; after the links found so are
-joined into components, members of a list meet again only if they are of different components. So large groups of near
-copies cost a link for each member, and no link between different components is left out. Lists with more than
-LIST_BLOCK members are dealt out in pairs of blocks.
+No group is expanded into rows of pairs. Documents with equal sets are one representative. Overlaps are sought twice:
+first each member of a list meets the list's leader only, by way of the leader within its part; the pairs that the
+estimate lets pass are joined into clusters; then the members of a list meet again, but only if they are of different
+clusters. After that every pair that a list and the estimate offer lies within a cluster, so that exact verification
+takes the clusters one by one: all intersections of a cluster's sets come from products of 0/1 matrices, and only links
+that connect something new leave the task. Lists with more than LIST_BLOCK members and clusters with more than
+CLUSTER_ROWS members or CLUSTER_ELEMENTS elements are dealt out in pairs of blocks.
 
 What sketches may miss: a pair at the threshold shares no run of three retained values with probability 5e-10 (0.85) or
 5e-8 (0.8), and its estimate falls six standard deviations short with probability 1e-7; more similar pairs, less.
@@ -35,8 +37,10 @@ from annogrid.llm.components import components
 from annogrid.llm.suffix_dedup import _BYTE, _by_bucket, _gathered, _mixed, _pack, _power_tables, _unpack
 
 SKETCH, RUN, TINY = 48, 3, 8
-#: Representatives in one part, members of a list compared in one task, sets in one verifying task, bytes hashed at once.
-PART_ROWS, LIST_BLOCK, VERIFY_SETS, BLOCK = 6000, 2048, 4000, 1 << 20
+#: Representatives in one part, members of a list compared in one task, bytes hashed at once.
+PART_ROWS, LIST_BLOCK, BLOCK = 6000, 2048, 1 << 20
+#: The same for members and elements of one block of a cluster, and for elements of one verifying task.
+CLUSTER_ROWS, CLUSTER_ELEMENTS, TASK_ELEMENTS = 1024, 1 << 20, 1 << 21
 #: Documents asked for are broadcast up to this number of rows (about 64 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_500_000
 _NONE = np.uint64((1 << 64) - 1)
@@ -126,6 +130,59 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _near(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float, t: float) -> np.ndarray:
+    """Whether estimates come near the threshold t; they are exact for sets that their sketches hold whole."""
+    whole = np.maximum(n_a, n_b) <= SKETCH // 2
+    return estimates(a, b) >= np.where(whole, t - 1e-9, least)
+
+
+def _entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+
+
+def shared_counts(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: int, columns: int) -> np.ndarray:
+    """How many elements each left set shares with each right set; sets come as (number of the set, element) entries."""
+    out = np.zeros((rows, columns), np.float32)
+    common = np.intersect1d(left[1], right[1])
+    if not len(common):
+        return out
+    sides = []
+    for number, element in (left, right):
+        at = np.minimum(np.searchsorted(common, element), len(common) - 1)
+        hit = common[at] == element
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((number[hit][order], at[hit][order]))
+    step = 2048
+    for begin in range(0, len(common), step):
+        width = min(step, len(common) - begin)
+        parts = []
+        for (number, at), n in zip(sides, (rows, columns), strict=True):
+            low, high = np.searchsorted(at, [begin, begin + width])
+            part = np.zeros((n, width), np.float32)
+            part[number[low:high], at[low:high] - begin] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def spanning(adjacent: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links (by id) that connect what a 0/1 table of left and right ids connects, each connecting something new."""
+    ids, where = np.unique(np.concatenate([left, right]), return_inverse=True)
+    at_left, at_right = where[: len(left)], where[len(left) :]
+    label = np.arange(len(ids))
+    a, b = [], []
+    for i in np.flatnonzero(adjacent.any(axis=1)).tolist():
+        near = at_right[adjacent[i]]
+        _, first = np.unique(label[near], return_index=True)
+        for j in near[first].tolist():
+            old, new = label[j], label[at_left[i]]
+            if old != new:
+                label[label == old] = new
+                a.append(int(ids[at_left[i]]))
+                b.append(int(ids[j]))
+    return a, b
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     rows = column.to_pylist()
     return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), SKETCH)
@@ -216,14 +273,15 @@ def _estimated(pairs: DataFrame, reps: DataFrame, least: float, num: int, den: i
     both = both.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = estimates(_matrix(batch.column("s_a")), _matrix(batch.column("s_b"))) >= least
+        n = [batch.column(x).to_numpy() for x in ("n_a", "n_b")]
+        good = _near(_matrix(batch.column("s_a")), _matrix(batch.column("s_b")), *n, least, num / den)
         return batch.select(["a", "b"]).filter(pa.array(good))
 
-    return map_batches(both.select("a", "b", "s_a", "s_b"), run, "a long, b long").distinct()
+    return map_batches(both.select("a", "b", "n_a", "n_b", "s_a", "s_b"), run, "a long, b long").distinct()
 
 
 def _across_pairs(reps: DataFrame, buckets: int, least: float, num: int, den: int) -> DataFrame:
-    """Pairs of a list's members that are of different components and whose estimate comes near the threshold."""
+    """Pairs of a list's members that are of different clusters and whose estimate comes near the threshold."""
 
     def entries(table: pa.Table):
         ids, n, comp, values = (table.column(x).to_numpy() for x in ("rep", "n", "comp", "n"))
@@ -232,7 +290,7 @@ def _across_pairs(reps: DataFrame, buckets: int, least: float, num: int, den: in
         return ids, n, comp, values, row, key
 
     def describe(table: pa.Table) -> pa.Table:
-        """For each list: its smallest and largest component in this part and its number of members."""
+        """For each list: its smallest and largest cluster in this part and its number of members."""
         _, _, comp, _, row, key = entries(table)
         order, number = _lists(comp[row], key)
         key, comp = key[order], comp[row][order]
@@ -243,7 +301,7 @@ def _across_pairs(reps: DataFrame, buckets: int, least: float, num: int, den: in
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary())})
 
     def decide(table: pa.Table) -> pa.Table:
-        """Tell each part which of its lists hold several components, and in how many blocks they are dealt."""
+        """Tell each part which of its lists hold several clusters, and in how many blocks they are dealt."""
         (key, low, high, count), part = _gathered(table, "uiii")
         order = np.argsort(key, kind="stable")
         key, low, high, count, part = (x[order] for x in (key, low, high, count, part))
@@ -290,14 +348,19 @@ def _across_pairs(reps: DataFrame, buckets: int, least: float, num: int, den: in
             left, right = own[side[own] == 0], own[side[own] == 1]
             if not len(right):
                 right = left
-            for k in range(0, len(left), 256):
-                i, j = np.meshgrid(left[k : k + 256], right, indexing="ij")
-                good = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num) & (ids[i] < ids[j] if right is left else True)
-                i, j = i[good], j[good]
-                if len(i):
-                    near = estimates(values[i], values[j]) >= least
-                    found_a.append(ids[i[near]])
-                    found_b.append(ids[j[near]])
+            entries = [np.nonzero(values[x] != _NONE) for x in (left, right)]
+            shared = shared_counts(*((e[0], values[x][e]) for e, x in zip(entries, (left, right), strict=True)), len(left), len(right))
+            big = np.maximum(n[left][:, None], n[right])
+            good = shared >= least * np.minimum(big, SKETCH) - 1e-6  # what the estimate can reach at best
+            good &= (comp[left][:, None] != comp[right]) & (np.minimum(n[left][:, None], n[right]) * den >= big * num)
+            i, j = np.nonzero(good)
+            i, j = left[i], right[j]
+            near = _near(values[i], values[j], n[i], n[j], least, num / den)
+            # One pair for each pair of clusters is enough to join them.
+            i, j = i[near], j[near]
+            _, first = np.unique(np.stack([np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])]), axis=1, return_index=True)
+            found_a.append(ids[i[first]])
+            found_b.append(ids[j[first]])
         none = [np.zeros(0, np.int64)]
         return _pairs(np.concatenate(found_a or none), np.concatenate(found_b or none))
 
@@ -308,42 +371,53 @@ def _across_pairs(reps: DataFrame, buckets: int, least: float, num: int, den: in
     return grouped.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full sets reach the threshold. A pair is verified where its second document's set is sent."""
+def _confirmed(docs: DataFrame, clusters: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """Links between members of a cluster (rep, n, comp) whose full sets reach the threshold, as many as connect what they connect."""
     spark = docs.sparkSession
-    pairs = stage(pairs)
-    number = pairs.count()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * number / VERIFY_SETS))
-    pairs = pairs.withColumn("bucket", F.pmod(F.xxhash64("b"), F.lit(buckets)).cast("int"))
-    asked = pairs.select(F.col("a").alias("_id"), "bucket").unionByName(pairs.select(F.col("b").alias("_id"), "bucket")).distinct()
-    if 2 * number <= BROADCAST_ROWS:
+    sizes = clusters.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("elements")).where(F.col("members") > 1)
+    blocks = F.greatest(F.ceil(F.col("members") / CLUSTER_ROWS), F.ceil(F.col("elements") / CLUSTER_ELEMENTS)).cast("int")
+    members = clusters.join(sizes.select("comp", blocks.alias("blocks")), "comp").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = members.select("rep", "n", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    asked = stage(dealt.select(F.col("rep").alias("_id"), "n", F.xxhash64("comp", low, high).alias("cell"), (F.col("own") > F.col("other")).cast("int").alias("side")))
+    number, elements = asked.agg(F.count("*"), F.sum("n")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((elements or 0) / TASK_ELEMENTS))
+    asked = asked.select("_id", "cell", "side")
+    if number <= BROADCAST_ROWS:
         asked = F.broadcast(asked)
-    sent = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(asked, "_id").select("_id", "bucket", "_text")
+    sent = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(asked, "_id").select("_id", "cell", "side", "_text")
 
     def send(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(texts_of(batch.column(2)), width)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], ["_id", "bucket", "elements"])
-
-    def verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
-        by_id: dict[int, dict[bytes, np.ndarray]] = {}
-        for i, blob in zip(sets.column("_id").to_pylist(), sets.column("elements").to_pylist(), strict=True):
-            by_id.setdefault(i, {})[blob] = np.frombuffer(blob, np.uint64)
-        a, b = pairs.column("a").to_pylist(), pairs.column("b").to_pylist()
-        good = []
-        for i, j in zip(a, b, strict=True):
-            linked = False
-            for x in by_id.get(i, {}).values():
-                for y in by_id.get(j, {}).values():
-                    if not linked and len(x) and min(len(x), len(y)) * den >= max(len(x), len(y)) * num:
-                        small, large = (x, y) if len(x) < len(y) else (y, x)
-                        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                        inter = int((large[at] == small).sum())
-                        linked = den * inter >= num * (len(x) + len(y) - inter)
-            good.append(linked)
-        return pairs.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    sets = map_batches(sent, send, "_id long, bucket int, elements binary")
-    return sets.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(verify, "a long, b long")
+        sets = shingle_sets(texts_of(batch.column(3)), width)
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s.tobytes() for s in sets], pa.binary())], ["_id", "cell", "side", "elements"])
+
+    def verify(table: pa.Table) -> pa.Table:
+        a, b = [], []
+        ids, cell, side = (table.column(x).to_numpy() for x in ("_id", "cell", "side"))
+        blobs = table.column("elements").to_pylist()
+        order = np.lexsort((ids, cell))
+        edges = np.flatnonzero(np.concatenate([[True], cell[order][1:] != cell[order][:-1], [True]]))
+        for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            rows = order[first:last]
+            left, right = rows[side[rows] == 0], rows[side[rows] == 1]
+            right = right if len(right) else left
+            sets = [[np.frombuffer(blobs[k], np.uint64) for k in x] for x in (left, right)]
+            n = [np.array([len(s) for s in x], np.float64) for x in sets]
+            inter = shared_counts(*map(_entries, sets), len(left), len(right)).astype(np.float64)
+            near = (den * inter >= num * (n[0][:, None] + n[1] - inter)) & (inter > 0) & (ids[left][:, None] != ids[right])
+            more = spanning(near, ids[left], ids[right])
+            a += more[0]
+            b += more[1]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sets = map_batches(sent, send, "_id long, cell long, side int, elements binary")
+    return sets.withColumn("bucket", F.pmod("cell", F.lit(buckets))).groupBy("bucket").applyInArrow(verify, "a long, b long")
+
+
+def _placed(reps: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The representatives with comp, their cluster's smallest member (themselves if they are alone)."""
+    found = clusters.withColumnRenamed("node", "rep")
+    return reps.join(found, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,13 +433,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(reps.count() / PART_ROWS))
     reps = reps.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int"))
     buckets = max(1, parts // 2)
-    pairs = _estimated(_leader_pairs(reps, buckets), reps, least, num, den)
-    links = stage(_confirmed(docs, pairs, width, num, den, id_col, text_col))
-    found = components(links)
-    placed = stage(reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"))
-    more = _confirmed(docs, _across_pairs(placed, buckets, least, num, den), width, num, den, id_col, text_col)
+    pairs = stage(_estimated(_leader_pairs(reps, buckets), reps, least, num, den))
+    placed = stage(_placed(reps, components(pairs)))
+    more = stage(_across_pairs(placed, buckets, least, num, den))
+    placed = _placed(reps, components(pairs.unionByName(more))).select("rep", "n", "comp")
+    links = _confirmed(docs, placed, width, num, den, id_col, text_col)
     copies = real.join(reps.select("digest", "rep"), "digest").where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionByName(more).unionByName(copies)).withColumnRenamed("node", "doc_id")
+    found = components(links.unionByName(copies)).withColumnRenamed("node", "doc_id")
     out = rows.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select(
         F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")

@@ -68,12 +68,11 @@ def test_odd_rows(spark):
 
 def test_blocks_of_a_list(spark, monkeypatch):
     monkeypatch.setattr(minhash, "LIST_BLOCK", 3)
+    monkeypatch.setattr(minhash, "CLUSTER_ROWS", 3)
     monkeypatch.setattr(minhash, "_leader_pairs", lambda reps, buckets: reps.select(reps.rep.alias("a"), reps.rep.alias("b")).limit(0))
     docs = made(5)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    with pytest.MonkeyPatch.context():
-        got = rows(minhash.near_duplicates(frame, 3, 85, 100))
-    assert got == sorted(minhash.brute_force(docs, 3, 85, 100), key=str)
+    assert rows(minhash.near_duplicates(frame, 3, 85, 100)) == sorted(minhash.brute_force(docs, 3, 85, 100), key=str)
 
 
 @settings(max_examples=30, deadline=None)
@@ -87,6 +86,13 @@ def test_estimates_of_small_sets_are_exact(a, b):
         assert minhash.estimates(sketches[:1], sketches[1:])[0] == pytest.approx(len(a & b) / max(len(a | b), 1))
 
 
+def test_shared_counts():
+    rng = np.random.default_rng(3)
+    sets = [[np.unique(rng.integers(0, 9000, rng.integers(0, 6000)).astype(np.uint64)) for _ in range(n)] for n in (7, 5)]
+    got = minhash.shared_counts(*map(minhash._entries, sets), 7, 5)
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[1]] for x in sets[0]]
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5), (None, 3)]
