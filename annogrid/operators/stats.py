@@ -50,7 +50,7 @@ def area_stats(df: DataFrame, area: Column) -> DataFrame:
 
 def without_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
     """Distinct ids of the left side that the right side doesn't have."""
-    return left.join(right, F.col(left_id) == F.col(right_id), "left_anti").select(left_id).distinct()
+    return left.select(left_id).join(right.select(F.col(right_id).alias(left_id)), left_id, "left_anti").distinct()
 
 
 def keep_ids(df: DataFrame, column: str, ids: list[int] | DataFrame) -> DataFrame:

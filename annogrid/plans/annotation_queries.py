@@ -238,10 +238,14 @@ def coverage_depth(spark, sf_dir):
     return rects.coverage_depth(_rects(spark, sf_dir))
 
 
-@query("overlap_pairs_one_plane", "annotations", "rects", body=f"SELECT a.idx AS a, b.idx AS b FROM rects a JOIN rects b ON {_CROSS} WHERE a.image_id % 500 = 0 AND b.image_id % 500 = 1")
+@query("overlap_pairs_one_plane", "annotations", "rects", body=f"SELECT a.idx AS a, b.idx AS b FROM rects a JOIN rects b ON a.image_id = b.image_id AND {_CROSS} WHERE a.idx % 2 = 0 AND b.idx % 2 = 1")
 def overlap_pairs_one_plane(spark, sf_dir):
+    """All images side by side in one plane, 1024 apart, so that no key is left to join on."""
     r = _rects(spark, sf_dir)
-    return rects.overlap_pairs_on_grid(r.where("image_id % 500 = 0"), r.where("image_id % 500 = 1"), 128.0).select(F.col("a_idx").alias("a"), F.col("b_idx").alias("b"))
+    right, down = 1024.0 * (F.col("image_id") % 128), 1024.0 * F.floor(F.col("image_id") / 128)
+    r = r.select("idx", (F.col("x0") + right).alias("x0"), (F.col("y0") + down).alias("y0"), (F.col("x1") + right).alias("x1"), (F.col("y1") + down).alias("y1"))
+    found = rects.overlap_pairs_on_grid(r.where("idx % 2 = 0"), r.where("idx % 2 = 1"), 256.0)
+    return found.select(F.col("a_idx").alias("a"), F.col("b_idx").alias("b"))
 
 
 _PI = "3.141592653589793"
