@@ -12,6 +12,22 @@ from annogrid.llm import bpe, decontam, html_extract, langid, minhash, pii, qual
 from annogrid.llm.common import read_table
 
 
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + least(len(w), 3) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS k FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+walk(node, far) AS (SELECT a, a FROM edges UNION SELECT w.node, e.b FROM walk w JOIN edges e ON w.far = e.a),
+comps AS (SELECT node, min(far) AS c FROM walk GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN comps ON node = d.doc_id
+"""
+
 #: The pseudonyms' key; set ANNOGRID_PII_KEY for a secret of your own.
 PII_KEY = os.environ.get("ANNOGRID_PII_KEY", "a key for test data only").encode()
 
@@ -24,6 +40,21 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(read_table(spark, sf_dir, "documents"), depth=100)
 
 
+OP2_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT doc_id, h, length(h) // 2 AS n FROM docs),
+starts AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS win FROM (SELECT doc_id, h, n, unnest(range(0, n - 99)) AS p FROM sized WHERE n >= 100)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS r FROM starts) WHERE r > 1),
+edges AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS step FROM again),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (SELECT *, count(*) FILTER (step IS NULL OR step > 100) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM edges) GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, s.a AS b FROM spans s WINDOW w AS (PARTITION BY doc_id ORDER BY s.a)
+  UNION ALL SELECT s.doc_id, coalesce(max(b), 0), any_value(n) FROM sized s LEFT JOIN spans USING (doc_id) GROUP BY s.doc_id),
+kept AS (SELECT g.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM gaps g JOIN sized USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n - length(k) // 2 AS BIGINT) AS n_removed, CAST((SELECT count(*) FROM spans x WHERE x.doc_id = sized.doc_id) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM sized JOIN kept USING (doc_id)
+"""
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = F.coalesce(quality.fold_of("doc_id", 3) == 1, F.lit(False))
@@ -113,4 +144,4 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {"op6_decontam": OP6_SQL, "op9_topk": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_suffix_dedup": OP2_SQL, "op4_minhash": OP4_SQL, "op6_decontam": OP6_SQL, "op9_topk": OP9_SQL}
