@@ -28,6 +28,8 @@ from annogrid.llm.common import map_batches
 from annogrid.llm.markup import INLINE, Node, parse, text_of, walk
 
 MIN_PAGES, MIN_SHARE = 4, 0.2
+#: Tasks that the pages of one host are dealt over.
+SALTS = 64
 #: Elements that never are article text.
 DROPPED = frozenset(
     "script style noscript template head nav footer aside form button select input textarea iframe svg canvas dialog menu object audio video datalist title xmp noembed noframes".split()
@@ -188,5 +190,8 @@ def extract(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"]
         )
 
-    joined = rows.join(found, "host", "left").select("_id", "_url", "_html", "template")
+    # A host may have any share of the pages: they are dealt over SALTS tasks, and each gets the host's template.
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("_id", "_url"), F.lit(SALTS)).cast("int"))
+    joined = rows.join(salted, ["host", "salt"], "left").select("_id", "_url", "_html", "template")
     return map_batches(joined, run, f"`{id_col}` {id_type}, `{url_col}` string, text string, n_chars long")
