@@ -173,3 +173,61 @@ def binned_mutual_information(points: DataFrame, bins: int = 10, digits: int = 6
     w = lambda *c: F.sum("n").over(Window.partitionBy("feature", *c))
     parts = joint.select("feature", (F.col("n") / w() * F.log(F.col("n") * w() / (w("label") * w("bin")))).alias("i"))
     return parts.groupBy("feature").agg(F.round(F.sum("i"), digits).alias("value"))
+
+
+def ward_labels(points: DataFrame, k: int, most: int = 4000) -> DataFrame:
+    """Agglomerative clusters by Ward's criterion for at most `most` points, in one task; more raise an error."""
+    import numpy as np
+    import pyarrow as pa
+
+    if points.limit(most + 1).count() > most:
+        raise ValueError(f"Ward linkage takes at most {most} points; use kmeans_labels or dbscan for more")
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("id").to_numpy(), kind="stable")
+        ids, x = table.column("id").to_numpy()[order], np.array(table.column("v").to_pylist())[order]
+        n, size, label = len(x), np.ones(len(x)), np.arange(len(x))
+        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+        np.fill_diagonal(d, np.inf)
+        for _ in range(n - min(k, n)):
+            i, j = sorted(divmod(int(d.argmin()), n))
+            total = size[i] + size[j] + size
+            new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / total
+            live = np.isfinite(d[i]) & np.isfinite(d[j])
+            d[i], d[:, i] = np.where(live, new, np.inf), np.where(live, new, np.inf)
+            d[i, i] = np.inf
+            d[j], d[:, j] = np.inf, np.inf
+            size[i] += size[j]
+            label[label == label[j]] = label[i]
+        return pa.table({"id": pa.array(ids, pa.int64()), "label": pa.array(np.unique(label, return_inverse=True)[1], pa.int32())})
+
+    one = points.select("id", "v").withColumn("_g", F.lit(0))
+    return one.groupBy("_g").applyInArrow(lambda t: run(t.select(["id", "v"])), "id long, label int")
+
+
+def scores(points: DataFrame) -> DataFrame:
+    """One row: silhouette, Calinski-Harabasz and Davies-Bouldin of a labelled table."""
+    mean = silhouette(points).agg(F.round(F.avg("silhouette"), 6).alias("silhouette"))
+    return mean.crossJoin(calinski_harabasz(points)).crossJoin(davies_bouldin(points))
+
+
+def search(points: DataFrame, ks: range = range(2, 9), eps: tuple[float, ...] = (), seed: int = 42) -> DataFrame:
+    """(name, k, silhouette, calinski_harabasz, davies_bouldin, best) of every model; DBSCAN results with noise are left out.
+
+    The best is the first by falling silhouette, in the order in which the models were tried.
+    """
+    from functools import reduce
+
+    plain, found = points.select("id", "v"), []
+    tried = [(f"kmeans_{k}", kmeans_labels, k) for k in ks] + [(f"gmm_{k}", gmm_labels, k) for k in ks]
+    tried += [(f"agglomerative_{k}", ward_labels, k) for k in ks] if plain.limit(4001).count() <= 4000 else []
+    labelled = [(name, fn(plain, k)) for name, fn, k in tried] + [(f"dbscan_{e}", dbscan(plain, e)) for e in eps]
+    for position, (name, labels) in enumerate(labelled):
+        row = labels.agg(F.count_distinct("label").alias("k"), F.min("label").alias("least")).first()
+        if row["k"] < 2 or row["least"] < 0:
+            continue
+        found.append(scores(plain.join(labels, "id")).select(F.lit(position).alias("position"), F.lit(name).alias("name"), F.lit(row["k"]).alias("k"), "silhouette", "calinski_harabasz", "davies_bouldin"))
+    if not found:
+        raise ValueError("no clustering with two clusters or more")
+    table = reduce(DataFrame.unionByName, found)
+    return table.withColumn("best", F.row_number().over(Window.orderBy(F.desc("silhouette"), "position")) == 1)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from annogrid.functions import polygons as pg
 from annogrid.functions import strings
-from annogrid.operators import clusters, collisions, frames, homography, sketches
+from annogrid.operators import advice, clusters, collisions, dashboard, frames, homography, sketches, stats
+from annogrid.sources import generate
 from annogrid.plans import derive
 from annogrid.plans.derive import sql
 
@@ -314,3 +315,78 @@ def frames_parts(spark, sf_dir):
 @query("frames_too_short", body="SELECT user_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds FROM events GROUP BY 1 HAVING (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 < 100000 + 2400000")
 def frames_too_short(spark, sf_dir):
     return frames.check_window(_frames(spark, sf_dir), "user_id", "ts", 100000.0, 2400000.0)
+
+
+def _importance(spark, sf_dir):
+    """A share for each of nine named features, by the mean of an embedding's component."""
+    names = F.array(*(F.lit(x) for x in _NAMES))
+    means = clusters.cluster_means(points(spark, sf_dir).withColumn("label", F.lit(0)), None).where(F.col("feature") < len(_NAMES))
+    return means.select(F.get(names, F.col("feature")).alias("feature"), F.abs("mean").alias("importance"))
+
+
+_NAMES = ("bbox_x_center", "bbox_area", "bbox_elongation", "bbox_width", "bbox_height", "relative_x", "relative_y", "horizontal_position", "seg_area")
+_IMPORTANCE = f"imp AS (SELECT ([{', '.join(repr(x) for x in _NAMES)}])[feature + 1] AS feature, abs(avg(x)) AS importance FROM long WHERE feature < {len(_NAMES)} GROUP BY feature)"
+
+
+@query("top_features", body=f"WITH {_POINTS}, {_IMPORTANCE} SELECT CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INT) AS rank, feature, round(importance, 9) AS importance FROM imp QUALIFY rank <= 8")
+def top_features(spark, sf_dir):
+    return advice.top_features(_importance(spark, sf_dir), 8).withColumn("importance", F.round("importance", 9))
+
+
+@query(
+    "augmentation_advice",
+    body=f"""WITH {_POINTS}, {_IMPORTANCE}, s AS (SELECT 'Apply random translations, crops, and spatial flips.' AS a, 0 AS k WHERE EXISTS (SELECT 1 FROM imp WHERE feature IN ('bbox_x_center', 'horizontal_position') AND importance > 0.001)
+    UNION ALL SELECT 'Apply random scaling and aspect ratio jitter.', 1 WHERE EXISTS (SELECT 1 FROM imp WHERE feature IN ('bbox_area', 'bbox_width', 'bbox_height') AND importance > 0.001)
+    UNION ALL SELECT 'Consider random rotations and stretching.', 2 WHERE EXISTS (SELECT 1 FROM imp WHERE feature = 'bbox_elongation' AND importance > 0.001))
+    SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INT) AS position, a AS advice FROM s""",
+)
+def augmentation_advice(spark, sf_dir):
+    return advice.augmentations(_importance(spark, sf_dir), 0.001)
+
+
+@query("weak_features", body=f"WITH {_POINTS}, {_IMPORTANCE} SELECT feature FROM imp WHERE importance < (SELECT avg(importance) / 2 FROM imp)")
+def weak_features(spark, sf_dir):
+    return advice.weak_features(_importance(spark, sf_dir))
+
+
+def _flat(spark, sf_dir):
+    return stats.flat_annotations(derive.annotations(spark, sf_dir), derive.categories(spark, sf_dir))
+
+
+@query(
+    "dashboard_area_histogram", "annotations", "categories",
+    body="""WITH f AS (SELECT name AS category_name, w * h AS v FROM annotations JOIN categories c ON category_id = c.id), e AS (SELECT category_name, min(v) AS lo, max(v) AS hi FROM f GROUP BY 1)
+    SELECT category_name, CAST(least(floor((v - lo) / ((hi - lo) / 30)), 29) AS INT) AS bin, lo, hi, count(*) AS n FROM f JOIN e USING (category_name) GROUP BY 1, 2, 3, 4""",
+)
+def dashboard_area_histogram(spark, sf_dir):
+    return dashboard.binned(_flat(spark, sf_dir), "bbox_area", 30)
+
+
+@query("dashboard_traces")
+def dashboard_traces(spark, sf_dir):
+    return dashboard.category_traces(_flat(spark, sf_dir))
+
+
+@query("dashboard_scatter", "annotations", "categories", body="SELECT name AS category_name, w / h AS x, w * h AS y FROM annotations JOIN categories c ON category_id = c.id")
+def dashboard_scatter(spark, sf_dir):
+    return dashboard.scatter(_flat(spark, sf_dir))
+
+
+@query("box_shapes", "annotations", "rects", body="SELECT idx, x0, y0, x1, y1, concat('Box ', row_number() OVER (ORDER BY idx)) AS name FROM rects")
+def box_shapes(spark, sf_dir):
+    return dashboard.box_shapes(derive.rectangles(derive.annotations(spark, sf_dir)))
+
+
+@query("ward_labels")
+def ward_labels(spark, sf_dir):
+    """Ward linkage of the class means of the embeddings' labels: its bound on points holds at any size."""
+    means = clusters._centres(points(spark, sf_dir))
+    return clusters.ward_labels(means.select(F.col("label").cast("long").alias("id"), F.col("centre").alias("v")), 3)
+
+
+@query("generated_dataset")
+def generated_dataset(spark, sf_dir):
+    """A generated dataset with as many images as the customer table has rows."""
+    n = derive.table(spark, sf_dir, "customer").count()
+    a = generate.dataset(spark, n)["annotations"]
+    return a.select("id", "image_id", "category_id", F.round("area", 6).alias("area"), pg.is_self_intersecting(pg.polygon_points(F.get("segmentation", 0))).alias("crosses_itself"))
