@@ -26,11 +26,13 @@ from annogrid.llm.common import map_batches
 #: A vocabulary file larger than this is not broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pieces whose encodings a worker remembers.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 500_000
 CACHE_PIECE_CHARS = 64
 #: Prefixes of pieces whose last tokens a worker remembers, and the longest piece that goes there.
-SHARED_PREFIXES = 800_000
+SHARED_PREFIXES = 600_000
 SHARED_PREFIX_BYTES = 64
+#: Pairs of tokens whose border a worker remembers.
+REMEMBERED_PAIRS = 400_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -46,7 +48,7 @@ class PrefixEncoder:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.ending: dict[bytes, int] = {}
         self.known: dict[bytes, int] = {}
         self.length = [len(self.bytes_of.get(rank, b"")) for rank in range(max(ranks.values()) + 1)]
@@ -88,10 +90,11 @@ class PrefixEncoder:
                 return True
 
     def may_follow(self, left: int, right: int) -> bool:
-        key = (left, right)
+        """As _border_holds, remembered by one number for both tokens."""
+        key = left << 32 | right
         known = self.follows.get(key)
         if known is None:
-            if len(self.follows) > 1_000_000:
+            if len(self.follows) >= REMEMBERED_PAIRS:
                 self.follows.clear()
             known = self.follows[key] = self._border_holds(left, right)
         return known
@@ -109,7 +112,7 @@ class PrefixEncoder:
                 if token >= 0:
                     if k == 0:
                         break
-                    known = follows.get((last[k], token))
+                    known = follows.get(last[k] << 32 | token)
                     if known or known is None and may_follow(last[k], token):
                         break
                 k -= 1
@@ -165,9 +168,9 @@ class PrefixEncoder:
                 if token >= 0:
                     if k == 0:
                         break
-                    key = (known[prefix[:k]], token)
-                    valid = follows(key)
-                    if valid or valid is None and self.may_follow(*key):
+                    before = known[prefix[:k]]
+                    valid = follows(before << 32 | token)
+                    if valid or valid is None and self.may_follow(before, token):
                         break
                 k -= 1
             known[prefix] = token
