@@ -55,8 +55,14 @@ def davies_bouldin(points: DataFrame, digits: int = 6) -> DataFrame:
     return pairs.groupBy("la").agg(F.max("r").alias("r")).agg(F.round(F.avg("r"), digits).alias("davies_bouldin"))
 
 
-def silhouette(points: DataFrame, blocks: int = 8, digits: int = 6) -> DataFrame:
+def _blocks(points: DataFrame, blocks: int | None, size: int = 2048) -> int:
+    """Blocks of about `size` points, so that a task's share of all pairs stays the same at any number of points."""
+    return blocks or max(4, -(-points.count() // size))
+
+
+def silhouette(points: DataFrame, blocks: int | None = None, digits: int = 6) -> DataFrame:
     """Exact Euclidean silhouette of each point, by blocks of points against blocks; a cluster of one gives 0."""
+    blocks = _blocks(points, blocks)
     left = points.select(F.col("id").alias("i"), F.col("v").alias("a"), F.col("label").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     right = points.select(F.col("id").alias("j"), F.col("v").alias("b"), F.col("label").alias("other"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     sums = left.join(right, "block").groupBy("i", "own", "other").agg(F.sum(F.sqrt(_square(F.col("a"), F.col("b")))).alias("d"), F.count(F.lit(1)).alias("n"))
@@ -83,8 +89,9 @@ def anchors(boxes: DataFrame, limit: int = 6, rtol: float = 0.1, atol: float = 1
     return listed.select(F.posexplode(kept).alias("rank", "b")).select((F.col("rank") + 1).alias("rank"), F.round("b.w", 6).alias("w"), F.round("b.h", 6).alias("h"))
 
 
-def mutual_nearest(left: DataFrame, right: DataFrame, blocks: int = 4, digits: int = 6) -> DataFrame:
+def mutual_nearest(left: DataFrame, right: DataFrame, blocks: int | None = None, digits: int = 6) -> DataFrame:
     """Pairs (of tables id, v) that are each other's nearest, ties to the smaller id; blocks of one side against the other's."""
+    blocks = _blocks(right, blocks)
     l_ = left.select(F.col("id").alias("left_id"), F.col("v").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     r = right.select(F.col("id").alias("right_id"), F.col("v").alias("b"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     d = l_.join(r, "block").select("left_id", "right_id", _square(F.col("a"), F.col("b")).alias("d"))
@@ -94,10 +101,11 @@ def mutual_nearest(left: DataFrame, right: DataFrame, blocks: int = 4, digits: i
     return best_right.join(best_left, ["left_id", "right_id"]).select("left_id", "right_id", F.round(F.sqrt("d"), digits).alias("distance"))
 
 
-def dbscan(points: DataFrame, eps: float, min_points: int = 5, blocks: int = 4) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, min_points: int = 5, blocks: int | None = None) -> DataFrame:
     """(id, label): -1 for noise, else the smallest core id of the cluster; border points go to the smallest cluster nearby."""
     from annogrid.operators.graph import connected_components
 
+    blocks = _blocks(points, blocks)
     a = points.select(F.col("id").alias("a"), F.col("v").alias("va"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     b = points.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     near = a.join(b, "block").where(_square(F.col("va"), F.col("vb")) <= eps * eps).select("a", "b")

@@ -41,9 +41,9 @@ def scatter(flat: DataFrame) -> DataFrame:
 
 def box_shapes(rects: DataFrame) -> DataFrame:
     """Outlines with the names Box 1, Box 2, ... by index."""
-    from annogrid.operators.merge import _numbered
+    from annogrid.operators.merge import numbered
 
-    return _numbered(rects.select("idx", "x0", "y0", "x1", "y1"), "idx").select("idx", "x0", "y0", "x1", "y1", F.concat(F.lit("Box "), F.col("number").cast("string")).alias("name"))
+    return numbered(rects.select("idx", "x0", "y0", "x1", "y1"), "idx").select("idx", "x0", "y0", "x1", "y1", F.concat(F.lit("Box "), F.col("number").cast("string")).alias("name"))
 
 
 def heatmap(centres: DataFrame, width: float, height: float, bin_size: float, sigmas: tuple[float, ...] = (0.5, 1.0, 2.0)) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annogrid.operators.graph import checkpointed
+
 
 def collision_flags(base: DataFrame, new: DataFrame, id_col: str = "id", position: str = "position") -> DataFrame:
     """For each new row: whether its id is in the base, and whether it occurred earlier among the new rows."""
@@ -26,8 +28,8 @@ def remapped_ids(base: DataFrame, new: DataFrame, id_col: str = "id", position:
     top = base.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top"))
     if strict:
         top = base.select(id_col).unionByName(new.select(id_col)).agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top"))
-        numbered = _numbered(flags.where("flagged").select(position), position).withColumn("collided", F.lit(True))
-        out = flags.join(numbered, position, "left").crossJoin(F.broadcast(top))
+        counted = numbered(flags.where("flagged").select(position), position).withColumn("collided", F.lit(True))
+        out = flags.join(counted, position, "left").crossJoin(F.broadcast(top))
         return out.select(*new.columns, F.when(F.col("collided"), F.col("top") + F.col("number")).otherwise(F.col(id_col)).alias("new_id"), F.coalesce("collided", F.lit(False)).alias("collided"))
     flags = flags.crossJoin(F.broadcast(top))
     flagged = flags.where("flagged").agg(F.count(F.lit(1)).alias("n"), F.max("top").alias("t")).first()
@@ -58,10 +60,14 @@ def remapped_ids(base: DataFrame, new: DataFrame, id_col: str = "id", position:
     return out.select(*new.columns, F.when(F.col("collided"), F.col("top") + F.col("number")).otherwise(F.col(id_col)).alias("new_id"), "collided")
 
 
-def _numbered(df: DataFrame, position: str) -> DataFrame:
-    """Rows numbered from 1 by position without one task for all: counts of ranges are added up before."""
-    ranged = df.repartitionByRange(position).withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(position)))
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Rows numbered from 1 by the columns without one task for all: counts of ranges are added up before.
+
+    The ranges are drawn once and kept in the checkpoint folder, as both the numbers and the counts rest on them.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    local = checkpointed(local)
     counts = local.groupBy("_p").agg(F.max("_k").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(F.broadcast(before), "_p").select(*df.columns, (F.col("_k") + F.col("_before")).alias("number"))
@@ -70,9 +76,9 @@ def _numbered(df: DataFrame, position: str) -> DataFrame:
 def merged_images(base: DataFrame, new: DataFrame) -> DataFrame:
     """(old_id, new_id) of the new images: an id that the base has gets the next free number, in the order of ids."""
     taken = new.join(base.select("id"), "id", "left_semi").select("id")
-    numbered = _numbered(taken, "id")
+    counted = numbered(taken, "id")
     top = base.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    joined = new.select("id").join(numbered, "id", "left").crossJoin(F.broadcast(top))
+    joined = new.select("id").join(counted, "id", "left").crossJoin(F.broadcast(top))
     return joined.select(F.col("id").alias("old_id"), F.coalesce(F.col("top") + F.col("number"), F.col("id")).alias("new_id"))
 
 
@@ -80,9 +86,9 @@ def merged_categories(base: DataFrame, new: DataFrame) -> DataFrame:
     """(old_id, new_id, added) of the new categories: by name; names the base doesn't have get the next numbers, in the order of ids."""
     known = base.groupBy("name").agg(F.min("id").alias("_known"))
     joined = new.select("id", "name").join(known, "name", "left")
-    numbered = _numbered(joined.where(F.col("_known").isNull()).select("id"), "id")
+    counted = numbered(joined.where(F.col("_known").isNull()).select("id"), "id")
     top = base.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    out = joined.join(numbered, "id", "left").crossJoin(F.broadcast(top))
+    out = joined.join(counted, "id", "left").crossJoin(F.broadcast(top))
     return out.select(F.col("id").alias("old_id"), F.coalesce("_known", F.col("top") + F.col("number")).cast("long").alias("new_id"), F.col("_known").isNull().alias("added"))
 
 

@@ -30,22 +30,28 @@ def overlaps() -> Column:
     return crossing & solid
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame | None = None, key: str = "image_id") -> DataFrame:
-    """Pairs with overlap and the same key; of one relation with itself, each pair once."""
+def overlap_pairs(a: DataFrame, b: DataFrame | None = None, key: str = "image_id", cell: float | None = None) -> DataFrame:
+    """Pairs with overlap and the same key; of one relation with itself, each pair once. cell: deal images into a grid."""
+    if cell is not None:
+        return overlap_pairs_on_grid(a, b, cell, key)
     left, right = _sides(normalised(a), normalised(a if b is None else b), key)
     where = overlaps() & (F.col("a_idx") < F.col("b_idx")) if b is None else overlaps()
     return left.join(right, key).where(where)
 
 
-def overlap_pairs_on_grid(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
-    """Pairs with overlap in one plane; a rectangle is copied into every cell of the grid that it touches."""
+def overlap_pairs_on_grid(a: DataFrame, b: DataFrame | None, cell: float, key: str | None = None) -> DataFrame:
+    """Pairs with overlap in one plane, or in one plane for each key whose rectangles may be very many.
+
+    A rectangle is copied into every cell of the grid that it touches, and a pair is reported in the first cell it shares.
+    """
 
     def dealt(df: DataFrame, s: str) -> DataFrame:
         c = lambda x: F.floor(F.col(f"{s}_{x}") / cell).cast("long")
         return df.withColumn("gx", F.explode(F.sequence(c("x0"), c("x1")))).withColumn("gy", F.explode(F.sequence(c("y0"), c("y1"))))
 
-    left, right = _sides(normalised(a), normalised(b), None)
-    both = dealt(left, "a").join(dealt(right, "b"), ["gx", "gy"]).where(overlaps())
+    left, right = _sides(normalised(a), normalised(a if b is None else b), key)
+    both = dealt(left, "a").join(dealt(right, "b"), [*([key] if key else []), "gx", "gy"]).where(overlaps())
+    both = both.where(F.col("a_idx") < F.col("b_idx")) if b is None else both
     first = (F.col("gx") == F.floor(F.greatest("a_x0", "b_x0") / cell)) & (F.col("gy") == F.floor(F.greatest("a_y0", "b_y0") / cell))
     return both.where(first).drop("gx", "gy")
 

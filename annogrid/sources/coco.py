@@ -47,9 +47,10 @@ def boxes(annotations: DataFrame) -> DataFrame:
 
 def rectangles_of_images(annotations: DataFrame, image_ids: DataFrame) -> DataFrame:
     """Rectangles of the images asked for, numbered from 0 in the order of the images, then of the annotations."""
-    order = Window.orderBy("image_position", "position")
+    from annogrid.operators.merge import numbered
+
     joined = annotations.join(image_ids.select(F.col("id").alias("image_id"), F.col("position").alias("image_position")), "image_id")
-    numbers = joined.select("id", "image_position", "position").withColumn("idx", F.row_number().over(order) - 1)
+    numbers = numbered(joined.select("id", "image_position", "position"), "image_position", "position").withColumn("idx", F.col("number") - 1)
     return boxes(annotations).withColumnRenamed("idx", "id").join(numbers.select("id", "idx"), "id")
 
 

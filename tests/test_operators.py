@@ -269,3 +269,18 @@ def test_streams_match_batches(spark, tmp_path):
     q = q.format("memory").queryName("sessions").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("select sum(n) from sessions").first()[0] == 200
+
+
+def test_grid_within_images(spark):
+    rng = random.Random(4)
+    rows = [(i, i % 3, *(float(rng.randint(0, 20)) for _ in range(4))) for i in range(60)]
+    df = spark.createDataFrame(rows, RECTS)
+    pairs = lambda f: sorted((r.a_idx, r.b_idx) for r in f.collect())
+    assert pairs(rects.overlap_pairs(df)) == pairs(rects.overlap_pairs(df, cell=4.0))
+
+
+def test_rectangles_of_images(spark):
+    ann = spark.createDataFrame([(10, 1, [0.0, 0.0, 2.0, 2.0], 0), (11, 2, [1.0, 1.0, 1.0, 1.0], 1), (12, 1, [3.0, 3.0, 1.0, 1.0], 2)], "id long, image_id long, bbox array<double>, position long")
+    wanted = spark.createDataFrame([(2, 0), (1, 1)], "id long, position long")
+    got = {r.idx: (r.id, r.x1) for r in coco.rectangles_of_images(ann, wanted).collect()}
+    assert got == {0: (11, 2.0), 1: (10, 2.0), 2: (12, 4.0)}
