@@ -167,7 +167,11 @@ def directional_energy(p):
     return spectrum.directional_energy(_spectra(p))
 
 
-@query("dominant_direction")
+@query(
+    "dominant_direction",
+    f"""{_DFT}, binned AS (SELECT image_id, CAST(floor((atan2(dy, dx) + pi()) / (2 * pi() / 35)) AS INT) AS bin, round(sum(m * m), 3) AS e FROM placed GROUP BY 1, 2)
+    SELECT image_id, round(-180.0::DOUBLE + bin * (360.0::DOUBLE / 35), 6) AS dominant_direction FROM binned WHERE bin < 35 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY e DESC, bin) = 1""",
+)
 def dominant_direction(p):
     return spectrum.dominant_direction(spectrum.directional_energy(_spectra(p)))
 

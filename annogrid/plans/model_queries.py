@@ -362,7 +362,17 @@ def dashboard_area_histogram(spark, sf_dir):
     return dashboard.binned(_flat(spark, sf_dir), "bbox_area", 30)
 
 
-@query("dashboard_traces")
+def _trace(name: str, bins: int) -> str:
+    return f"""SELECT '{name}' AS trace, category_name, CASE WHEN hi > lo THEN CAST(least(floor((v - lo) / ((hi - lo) / {bins})), {bins - 1}) AS INT) ELSE 0 END AS bin, lo, hi, count(*) AS n
+    FROM {name} JOIN (SELECT category_name, min(v) AS lo, max(v) AS hi FROM {name} GROUP BY 1) USING (category_name) GROUP BY 1, 2, 3, 4, 5"""
+
+
+@query(
+    "dashboard_traces", "annotations", "categories",
+    body=f"""WITH f AS (SELECT name AS category_name, image_id, w, h FROM annotations JOIN categories c ON category_id = c.id), area AS (SELECT category_name, w * h AS v FROM f),
+    aspect_ratio AS (SELECT category_name, w / h AS v FROM f), per_image AS (SELECT category_name, count(*)::DOUBLE AS v FROM f GROUP BY category_name, image_id)
+    {_trace("area", 30)} UNION ALL {_trace("aspect_ratio", 30)} UNION ALL {_trace("per_image", 20)}""",
+)
 def dashboard_traces(spark, sf_dir):
     return dashboard.category_traces(_flat(spark, sf_dir))
 
