@@ -104,3 +104,26 @@ def estimate(pairs: DataFrame, threshold: float = 5.0, confidence: float = 0.99,
 
     plain = pairs.select(F.col("image_id").cast("long").alias("image_id"), *(F.col(c).cast("double").alias(c) for c in "xyuv"))
     return plain.groupBy("image_id").applyInArrow(run, "image_id long, inliers long, " + ", ".join(f"{m} double" for m in MATRIX))
+
+
+def transform_annotations(annotations: DataFrame, images: DataFrame, corrected: DataFrame, matrices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Annotations (id, image_id, bbox, segmentation, keypoints) of images that have a corrected file and a homography, moved; and one row of counts.
+
+    Dropped: annotations without an image, a corrected file or a homography; those whose box gets a side of at most 1;
+    those with polygons of which none is left. Null boxes, segmentations and keypoints stay null. The area is kept.
+    """
+    from annogrid.functions.polygons import polygon_points
+
+    sized = match_by_name(images, corrected).select(F.col("id").alias("image_id"), F.col("width").cast("double").alias("_w"), F.col("height").cast("double").alias("_h"))
+    usable = matrices.where(F.col("h00").isNotNull()).select("image_id", *MATRIX)
+    a = annotations.join(sized, "image_id").join(usable, "image_id")
+    b, w, h = F.col("bbox"), F.col("_w"), F.col("_h")
+    box = F.when(b.isNotNull() & (F.size(b) == 4), moved_box(b[0], b[1], b[2], b[3], w, h))
+    flat = lambda p: F.flatten(F.transform(p, lambda q: F.array(q["x"], q["y"])))
+    polygons = F.filter(F.transform("segmentation", lambda p: F.when((F.size(p) >= 6) & (F.size(p) % 2 == 0), flat(moved_polygon(polygon_points(p), w, h)))), lambda p: p.isNotNull())
+    moved_rows = a.withColumns({"_box": box, "_polygons": F.when(F.col("segmentation").isNotNull(), polygons), "_keypoints": F.when(F.col("keypoints").isNotNull(), moved_keypoints(F.col("keypoints"), w, h))})
+    kept = moved_rows.where((b.isNull() | F.col("_box").isNotNull()) & (F.col("segmentation").isNull() | (F.size("_polygons") > 0)))
+    x = F.col("_box")
+    out = kept.withColumns({"bbox": F.when(x.isNotNull(), F.array(x["x"], x["y"], x["w"], x["h"])), "segmentation": F.col("_polygons"), "keypoints": F.col("_keypoints")}).select(*annotations.columns)
+    counts = annotations.agg(F.count(F.lit(1)).alias("annotations")).crossJoin(out.agg(F.count(F.lit(1)).alias("kept"))).crossJoin(usable.agg(F.count(F.lit(1)).alias("homographies")))
+    return out, counts.withColumn("skipped", F.col("annotations") - F.col("kept"))

@@ -80,3 +80,29 @@ def load_settings(cls, path: str | None = None):
             found = yaml.safe_load(f) or {}
     known = {f.name: f for f in dataclasses.fields(cls)}
     return cls(**{k: v for k, v in found.items() if k in known})
+
+
+def pixel_table(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, row, col, b, g, r) of the images that can be decoded; gray images have equal channels."""
+    import numpy as np
+
+    source = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+    def run(batches):
+        for batch in batches:
+            for origin, height, width, channels, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p = np.frombuffer(data, np.uint8).reshape(height * width, channels)
+                p = p[:, :3] if channels >= 3 else np.repeat(p[:, :1], 3, axis=1)
+                rows, cols = np.divmod(np.arange(height * width), width)
+                for k in range(0, len(p), 1 << 18):
+                    part = slice(k, k + (1 << 18))
+                    columns = [pa.array([origin] * len(p[part])), *(pa.array(x[part].astype(np.int32)) for x in (rows, cols, p[:, 0], p[:, 1], p[:, 2]))]
+                    yield pa.RecordBatch.from_arrays(columns, ["path", "row", "col", "b", "g", "r"])
+
+    return source.mapInArrow(run, "path string, row int, col int, b int, g int, r int")
+
+
+def write_csv(df: DataFrame, folder: str) -> None:
+    """A folder of CSV parts with headers; arrays are joined by spaces."""
+    joined = [F.array_join(F.col(c).cast("array<string>"), " ").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
+    df.select(*joined).write.mode("overwrite").option("header", True).csv(folder)
