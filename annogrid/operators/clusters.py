@@ -60,15 +60,48 @@ def _blocks(points: DataFrame, blocks: int | None, size: int = 2048) -> int:
     return blocks or max(4, -(-points.count() // size))
 
 
+def _block_pairs(left: DataFrame, right: DataFrame, blocks: int):
+    """Both sides (id, v, ...) dealt into cells of a block of the left against a block of the right, grouped for cogroup."""
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left, right = (x.select(*(F.col(c).alias(c) for c in x.columns)) for x in (left, right))  # two relations, also of one table
+    a = left.withColumn("_o", own).withColumn("_e", every).withColumn("cell", F.col("_o") * blocks + F.col("_e"))
+    b = right.withColumn("_o", own).withColumn("_e", every).withColumn("cell", F.col("_e") * blocks + F.col("_o"))
+    return a.drop("_o", "_e").groupBy("cell"), b.drop("_o", "_e").groupBy("cell")
+
+
 def silhouette(points: DataFrame, blocks: int | None = None, digits: int = 6) -> DataFrame:
     """Exact Euclidean silhouette of each point, by blocks of points against blocks; a cluster of one gives 0."""
-    blocks = _blocks(points, blocks)
-    left = points.select(F.col("id").alias("i"), F.col("v").alias("a"), F.col("label").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = points.select(F.col("id").alias("j"), F.col("v").alias("b"), F.col("label").alias("other"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    sums = left.join(right, "block").groupBy("i", "own", "other").agg(F.sum(F.sqrt(_square(F.col("a"), F.col("b")))).alias("d"), F.count(F.lit(1)).alias("n"))
+    import numpy as np
+    import pyarrow as pa
+
+    p = points.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.col("label").cast("long").alias("label"))
+    left, right = _block_pairs(p, p, _blocks(points, blocks))
+
+    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
+        """For each point of the left block, the distances to each label of the right one, added up."""
+        out = {k: [] for k in ("i", "own", "other", "d", "n")}
+        if a.num_rows and b.num_rows:
+            x, y = (np.array(t.column("v").to_pylist()) for t in (a, b))
+            ids, own = a.column("id").to_numpy(), a.column("label").to_numpy()
+            labels, where = np.unique(b.column("label").to_numpy(), return_inverse=True)
+            order = np.argsort(where, kind="stable")
+            y, n = y[order], np.bincount(where)
+            starts = np.cumsum(n) - n
+            for k in range(0, len(x), 64):
+                d = np.sqrt(((x[k : k + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+                total = np.add.reduceat(d, starts, axis=1)
+                m = len(total)
+                for name, values in (("i", np.repeat(ids[k : k + 64], len(labels))), ("own", np.repeat(own[k : k + 64], len(labels))), ("other", np.tile(labels, m)), ("d", total.ravel()), ("n", np.tile(n, m))):
+                    out[name].append(values)
+        kinds = {"i": np.int64, "own": np.int64, "other": np.int64, "d": np.float64, "n": np.int64}
+        return pa.table({k: pa.array(np.concatenate(v) if v else np.zeros(0, kinds[k])) for k, v in out.items()})
+
+    parts = left.cogroup(right).applyInArrow(sums, "i long, own long, other long, d double, n long")
+    summed = parts.groupBy("i", "own", "other").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     inner = F.max(F.when(F.col("own") == F.col("other"), F.col("d") / F.nullif(F.col("n") - 1, F.lit(0)))).alias("near")
     outer = F.min(F.when(F.col("own") != F.col("other"), F.col("d") / F.col("n"))).alias("next")
-    by = sums.groupBy("i").agg(inner, outer)
+    by = summed.groupBy("i").agg(inner, outer)
     score = F.coalesce(F.try_divide(F.col("next") - F.col("near"), F.greatest("next", "near")), F.lit(0.0))
     return by.select(F.col("i").alias("id"), F.round(score, digits).alias("silhouette"))
 

@@ -29,6 +29,8 @@ def tiles(resolutions: DataFrame) -> DataFrame:
     """x0, y0, x1, y1 of all tiles of each (width, height, x_overlap, y_overlap), row by row, without repeats."""
     xs, tile_w = _starts(F.col("width"), F.col("x_overlap"))
     ys, tile_h = _starts(F.col("height"), F.col("y_overlap"))
-    rows = resolutions.select("width", "height", xs.alias("xs"), ys.alias("ys"), tile_w.alias("tw"), tile_h.alias("th"))
+    # Starts are made distinct within the arrays: a distinct of the rows would let Catalyst drop the caller's distinct
+    # of the resolutions, and every image would be tiled.
+    rows = resolutions.select("width", "height", F.array_distinct(xs).alias("xs"), F.array_distinct(ys).alias("ys"), tile_w.alias("tw"), tile_h.alias("th"))
     rows = rows.select("width", "height", "xs", "tw", "th", F.explode("ys").alias("y0")).select("width", "height", "tw", "th", "y0", F.explode("xs").alias("x0"))
-    return rows.select("width", "height", "x0", "y0", F.least(F.col("x0") + F.col("tw"), "width").alias("x1"), F.least(F.col("y0") + F.col("th"), "height").alias("y1")).distinct()
+    return rows.select("width", "height", "x0", "y0", F.least(F.col("x0") + F.col("tw"), "width").alias("x1"), F.least(F.col("y0") + F.col("th"), "height").alias("y1"))
