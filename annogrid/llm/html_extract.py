@@ -6,10 +6,14 @@ that site's template and deleted. Menus, headers, footers, sidebars, notices, ad
 comments that occur once are told by their element, role and class names. What is left of the article (else of the
 main element, else of the body) is the text.
 
-Subtrees inside an article are its own words, which copies of the article on the same host share; they are told by name
-only.
+Subtrees inside the content are counted once for each distinct text of the content, so that copies of an article on the
+same host don't make a template, and the content itself is never deleted. Containers (div, section and the like) that
+recur in at least MIN_PAGES articles and MIN_SHARE of the host's distinct ones are deleted. Prose (paragraphs, headings,
+lists, tables, quotes), which near copies of an article share too, must recur in MIN_ARTICLES and PROSE_SHARE of them,
+and is deleted only where at least half of the content's text is left. Nothing is deleted that would leave no text.
 
-A host's template has at most (elements of an average page) / MIN_SHARE entries, whatever the number of its pages.
+A host's template has at most (elements of an average page) / MIN_SHARE entries of either kind, whatever the number of its
+pages.
 
 Defined results: a null or empty page has an empty text; a null url or one without a host counts as host ''; repeated
 rows count as pages each; an empty table gives an empty table; other columns are not read.
@@ -24,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annogrid.llm.common import map_batches
+from annogrid.llm.common import map_batches, stage
 from annogrid.llm.markup import INLINE, Node, parse, text_of, walk
 
 MIN_PAGES, MIN_SHARE = 4, 0.2
+#: The same for prose inside the content, in distinct articles.
+MIN_ARTICLES, PROSE_SHARE = 20, 0.5
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figcaption".split())
 #: Tasks that the pages of one host are dealt over.
 SALTS = 64
 #: Elements that never are article text.
@@ -104,13 +111,14 @@ class Page:
         return False
 
     def subtree_hashes(self) -> dict[int, bytes]:
-        """A hash for each block element that isn't part of the article and doesn't hold it."""
+        """A hash for each block element that doesn't hold the content: b"o" before it outside, b"g" or b"p" before a
+        container or prose inside the content."""
         own = {id(x) for x in self.content}
         inside: set[int] = set()
         for node in self.nodes:
-            if id(node) in own or node.parent is not None and id(node.parent) in inside:
+            if node.parent is not None and (id(node.parent) in inside or id(node.parent) in own):
                 inside.add(id(node))
-        holding = set()
+        holding = set(own)
         for node in self.content:
             up = node.parent
             while up is not None:
@@ -118,8 +126,6 @@ class Page:
                 up = up.parent
         found = {}
         for node in reversed(self.nodes):  # children come before parents
-            if id(node) in inside:
-                continue
             h = hashlib.blake2b(digest_size=8)
             h.update(f"{node.tag}\0{node.raw}\0".encode("utf-8", "surrogatepass"))
             some = False
@@ -133,18 +139,37 @@ class Page:
                     some = some or bool(x.digest)
             node.digest = h.digest()
             if some and node.tag not in INLINE and id(node) not in holding and node.tag not in ("#root", "html", "body"):
-                found[id(node)] = node.digest
+                kind = b"o" if id(node) not in inside else b"p" if node.tag in PROSE else b"g"
+                if kind == b"o" or id(node) not in self.by_name:
+                    found[id(node)] = kind + node.digest
         return found
 
+    def article(self) -> bytes:
+        """A hash of the content's text, which copies of an article share."""
+        return hashlib.blake2b(self.text().encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
     def text(self, template: frozenset[bytes] = frozenset()) -> str:
-        repeated: set[int] = set()
+        groups: set[int] = set()
+        prose: set[int] = set()
         if template:
-            repeated = {k for k, digest in self.subtree_hashes().items() if digest in template}
+            for k, digest in self.subtree_hashes().items():
+                if digest in template:
+                    (prose if digest[:1] == b"p" else groups).add(k)
         tops = self.content or [self.root]
-        blocks = []
-        for top in tops:
-            blocks += text_of(top, lambda node: id(node) in self.by_name or id(node) in repeated)
-        return " ".join(blocks)
+
+        def without(*dropped: set[int]) -> str:
+            blocks = []
+            for top in tops:
+                blocks += text_of(top, lambda node: any(id(node) in x for x in dropped))
+            return " ".join(blocks)
+
+        left = without(self.by_name, groups)
+        if self.content and groups and not left:
+            return without(self.by_name)
+        if prose:
+            less = without(self.by_name, groups, prose)
+            left = less if 2 * len(less) >= len(left) else left
+        return left
 
 
 def _host(url_col: str):
@@ -155,20 +180,36 @@ def _host(url_col: str):
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """For each host the hashes of its template's subtrees."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def outside(batch: pa.RecordBatch) -> pa.RecordBatch:
         hosts, hashes = [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            distinct = {b"", *Page(page).subtree_hashes().values()}  # the empty hash counts the page itself
+            distinct = {x for x in Page(page).subtree_hashes().values() if x[:1] == b"o"}
             hosts += [host] * len(distinct)
             hashes += distinct
         return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.binary())], ["host", "hash"])
 
+    def inside(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hosts, articles, hashes = [], [], []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parsed = Page(page)
+            if parsed.content:
+                hosts.append(host)
+                articles.append(parsed.article())
+                hashes.append(sorted({b"", *(x for x in parsed.subtree_hashes().values() if x[:1] != b"o")}))  # the empty hash counts the article itself
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(articles, pa.binary()), pa.array(hashes, pa.list_(pa.binary()))], ["host", "article", "hashes"])
+
     there = pages.where(F.col(html_col).isNotNull()).select(_host(url_col).alias("host"), html_col)
-    counts = map_batches(there, run, "host string, hash binary").groupBy("host", "hash").agg(F.count("*").alias("n"))
-    counts = counts.where(F.col("n") >= min_pages)
-    total = counts.where(F.octet_length("hash") == 0).select("host", F.col("n").alias("pages"))
-    often = counts.where(F.octet_length("hash") > 0).join(total, "host").where(F.col("n") >= F.col("pages") * min_share)
-    return often.groupBy("host").agg(F.collect_list("hash").alias("template"))
+    counts = map_batches(there, outside, "host string, hash binary").groupBy("host", "hash").agg(F.count("*").alias("n"))
+    total = there.groupBy("host").agg(F.count("*").alias("pages"))
+    often = counts.where(F.col("n") >= min_pages).join(total, "host").where(F.col("n") >= F.col("pages") * min_share)
+    articles = map_batches(there, inside, "host string, article binary, hashes array<binary>").groupBy("host", "article").agg(F.any_value("hashes").alias("hashes"))
+    counts = articles.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+    counts = stage(counts.where(F.col("n") >= min_pages))
+    total = counts.where(F.octet_length("hash") == 0).select("host", F.col("n").alias("articles"))
+    prose = F.substring("hash", 1, 1) == F.lit(b"p")
+    share = F.col("n") / F.col("articles")
+    within = counts.where(F.octet_length("hash") > 0).join(total, "host").where(F.when(prose, (F.col("n") >= MIN_ARTICLES) & (share >= PROSE_SHARE)).otherwise(share >= min_share))
+    return often.select("host", "hash").unionByName(within.select("host", "hash")).groupBy("host").agg(F.collect_list("hash").alias("template"))
 
 
 def extract(

@@ -31,6 +31,19 @@ def test_templates_without_an_article(spark):
     assert got[3] == "Own words 3 More 3" and got[20] == "Home | About Own words 20 More 20 Powered by site"
 
 
+def test_templates_inside_an_article(spark):
+    page = '<body><article><h1>Title {k}</h1><div class="x7"><p>Suivez nous</p></div><p>Own words {k} that are longer than the rest</p><p class="y">Share this text</p></article></body>'
+    copy = "<body><article><section><p>One copied article</p></section><div>Twice</div></article></body>"
+    rows = [(k, f"http://s/{k}", page.format(k=k)) for k in range(30)] + [(100 + k, f"http://s/c{k}", copy) for k in range(30)]
+    rows += [(200 + k, f"http://few/{k}", page.format(k=k)) for k in range(6)] + [(300, "http://other/", page.format(k=300))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert all(got[k] == f"Title {k} Own words {k} that are longer than the rest" for k in range(30))
+    assert all(got[100 + k] == "One copied article Twice" for k in range(30))
+    assert got[203] == "Title 3 Own words 3 that are longer than the rest Share this text"
+    assert got[300] == "Title 300 Suivez nous Own words 300 that are longer than the rest Share this text"
+
+
 def test_broken_markup():
     cases = {
         "a<b": "a",
