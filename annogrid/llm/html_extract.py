@@ -3,8 +3,9 @@
 Every element's subtree is hashed (tag, attributes, texts and the hashes of its children). Spark counts on how many
 pages of a host each hash occurs; subtrees that recur on at least MIN_PAGES pages and MIN_SHARE of a host's pages are
 that site's template and deleted. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments that occur once are told by their element, role and class names. What is left of the article (else of the
-main element, else of the body) is the text.
+comments that occur once are told by their element, role and class names. What is left of all outermost article and main
+elements (else of all outermost elements named as content, else of the body) is the text; where they hold less than
+LEAST_SHARE of what is left of the body, the body is.
 
 Subtrees inside the content are counted once for each distinct text of the content, so that copies of an article on the
 same host don't make a template, and the content itself is never deleted. Containers (div, section and the like) that
@@ -35,6 +36,8 @@ MIN_PAGES, MIN_SHARE = 4, 0.2
 #: The same for prose inside the content, in distinct articles.
 MIN_ARTICLES, PROSE_SHARE = 20, 0.5
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figcaption".split())
+#: Share of the body's text, without templates, that the content must hold to stand for it.
+LEAST_SHARE = 0.2
 #: Tasks that the pages of one host are dealt over.
 SALTS = 64
 #: Elements that never are article text.
@@ -62,13 +65,13 @@ def name_parts(node: Node) -> tuple[set[str], dict[str, str]]:
 
 
 class Page:
-    """A parsed page: its article, and which elements are dropped by what they are."""
+    """A parsed page: its content, and which elements are dropped by what they are."""
 
     def __init__(self, page: str):
         self.root = parse(page)
         self.nodes = list(walk(self.root))
         self.by_name: set[int] = set()
-        articles, mains, contents = [], [], []
+        articles, contents = [], []
         held: dict[int, bool] = {}  # whether an element holds an article or main element
         facts = []
         for node in self.nodes:
@@ -92,14 +95,27 @@ class Page:
             if tag in DROPPED or ((hidden or named or page_header) and id(node) not in held):
                 self.by_name.add(id(node))
                 continue
-            if tag == "article" or role == "article":
+            if tag in ("article", "main") or role in ("article", "main"):
                 articles.append(node)
-            elif tag == "main" or role == "main":
-                mains.append(node)
             elif parts & CONTENT and tag in ("div", "section", "td"):
                 contents.append(node)
-        outer = [a for a in articles if not self._inside(a, ("article",))]
-        self.content = mains[:1] or outer or contents[:1]
+        self.content = self._outermost(articles or contents)
+
+    @staticmethod
+    def _outermost(nodes: list[Node]) -> list[Node]:
+        """The nodes (in page order) that aren't in another of them."""
+        known = {id(x) for x in nodes}
+        free: set[int] = set()  # elements that lie in none of them
+        out = []
+        for node in nodes:
+            up, passed = node.parent, []
+            while up is not None and id(up) not in known and id(up) not in free:
+                passed.append(id(up))
+                up = up.parent
+            if up is None or id(up) in free:
+                free.update(passed)
+                out.append(node)
+        return out
 
     @staticmethod
     def _inside(node: Node, tags: tuple) -> bool:
@@ -155,19 +171,23 @@ class Page:
             for k, digest in self.subtree_hashes().items():
                 if digest in template:
                     (prose if digest[:1] == b"p" else groups).add(k)
-        tops = self.content or [self.root]
 
-        def without(*dropped: set[int]) -> str:
+        def without(tops: list[Node], *dropped: set[int]) -> str:
             blocks = []
             for top in tops:
                 blocks += text_of(top, lambda node: any(id(node) in x for x in dropped))
             return " ".join(blocks)
 
-        left = without(self.by_name, groups)
-        if self.content and groups and not left:
-            return without(self.by_name)
+        body = without([self.root], self.by_name, groups)
+        if not self.content:
+            return body
+        left = without(self.content, self.by_name, groups)
+        if groups and not left:
+            left = without(self.content, self.by_name)
+        if len(left) < LEAST_SHARE * len(body):
+            return body
         if prose:
-            less = without(self.by_name, groups, prose)
+            less = without(self.content, self.by_name, groups, prose)
             left = less if 2 * len(less) >= len(left) else left
         return left
 

@@ -44,6 +44,19 @@ def test_templates_inside_an_article(spark):
     assert got[300] == "Title 300 Suivez nous Own words 300 that are longer than the rest Share this text"
 
 
+def test_all_content_is_kept():
+    cases = {
+        '<div class="post"><p>One</div><div class="post">Two</div><section id="entry-3">Three</section>': "One Two Three",
+        '<div class="content-top">Teaser</div><div><p>The body that is much longer than the teaser before it</div>': "Teaser The body that is much longer than the teaser before it",
+        "<main><p>Main text</main><article>Aside it</article>": "Main text Aside it",
+        "<main>One</main><div role=main>Two<main>Three</main></div><p>x": "One Two Three",
+        '<div class="content"><p>Menu</p><article>Own text</article></div>': "Own text",
+        "<article>Card</article><div>" + "body " * 50 + "</div>": "Card " + " ".join(["body"] * 50),
+    }
+    for page, text in cases.items():
+        assert html_extract.Page(page).text() == text, page
+
+
 def test_broken_markup():
     cases = {
         "a<b": "a",
