@@ -156,13 +156,15 @@ def _vectors(points: DataFrame, out: str = "features") -> DataFrame:
     return points.withColumn(out, array_to_vector("v"))
 
 
-def kmeans_labels(points: DataFrame, k: int, starts: int = 3, seed: int = 42) -> DataFrame:
-    """The labels of the best of several starts."""
+def kmeans_labels(points: DataFrame, k: int, starts: int = 10, seed: int = 42) -> DataFrame:
+    """The labels of the start with the lowest cost."""
     from pyspark.ml.clustering import KMeans
 
     data = _vectors(points)
-    models = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(data) for i in range(starts)]
+    kept = data.select("features").persist()
+    models = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(kept) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
+    kept.unpersist()
     return best.transform(data).select("id", F.col("prediction").alias("label"))
 
 
@@ -182,13 +184,13 @@ def pca(points: DataFrame, k: int) -> DataFrame:
     return PCA(k=k, inputCol="features", outputCol="z").fit(data).transform(data).select("id", vector_to_array("z").alias("v"))
 
 
-def best_k(points: DataFrame, ks: range = range(2, 5), seed: int = 42) -> DataFrame:
-    """(k, silhouette) of each number of clusters; the best is the first by falling score, then k."""
+def best_k(points: DataFrame, ks: range = range(2, 9), starts: int = 10, seed: int = 42) -> DataFrame:
+    """(k, silhouette) of each number of clusters, by the best of several starts; the best is the first by falling score, then k."""
     from functools import reduce
 
     scored = []
     for k in ks:
-        labelled = points.select("id", "v").join(kmeans_labels(points, k, 1, seed), "id")
+        labelled = points.select("id", "v").join(kmeans_labels(points, k, starts, seed), "id")
         scored.append(silhouette(labelled).agg(F.round(F.avg("silhouette"), 6).alias("silhouette")).select(F.lit(k).alias("k"), "silhouette"))
     return reduce(DataFrame.unionByName, scored)
 

@@ -250,6 +250,17 @@ def test_clusters(spark):
     assert clusters.best_k(p.select("id", "v"), range(2, 4)).orderBy(F.desc("silhouette"), "k").first().k == 3
 
 
+def test_best_k_tries_two_to_eight_with_ten_starts(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    p = spark.createDataFrame([(i, [float(i % 6) * 10, float(i % 6 // 3) * 50 + i % 5 * 0.01]) for i in range(60)], "id long, v array<double>")
+    fitted, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, data: fitted.append((self.getK(), self.getSeed())) or fit(self, data))
+    scores = {r.k: r.silhouette for r in clusters.best_k(p).collect()}
+    assert set(scores) == set(range(2, 9)) and max(scores, key=scores.get) == 6
+    assert len(set(fitted)) == 70
+
+
 def test_streams_match_batches(spark, tmp_path):
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
     rows = [(i, None, i % 3, "ab"[i % 2], float(i), None) for i in range(200)]
