@@ -9,6 +9,9 @@ Kinds: card (Luhn, 13 to 19 digits), iban (mod 97), ssn, phone, ip (IPv4), date
 email (letters and digits before the @), secret (hexadecimal strings of 16 or more
 with letters and digits).
 
+A card or IBAN that is followed by what could be its last groups (an expiry date, a code, a capital word) ends at the last
+group with which it is valid; where a longer reading is valid by chance, that is taken. A date may have a time behind T.
+
 Defined results: a null text stays null and has no values; values that fail validation stay as they are; repeated rows
 get equal results; other columns of the input are not read; an empty table gives an empty table.
 """
@@ -35,7 +38,7 @@ _FOUND = re.compile(
   | (?P<iban>(?<![0-9A-Za-z])[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?![0-9A-Za-z]))
   | (?P<ip>(?<![\w.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?![\w]|\.\d))
   | (?P<date>(?<![\w/.-])(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}/\d{{2}}/\d{{2}}|\d{{1,2}}/\d{{1,2}}/\d{{4}}|\d{{1,2}}\.\d{{1,2}}\.\d{{4}}
-      |\d{{1,2}}[ ](?:{_MONTH})[ ]\d{{4}})(?![\w/-]|\.\d))
+      |\d{{1,2}}[ ](?:{_MONTH})[ ]\d{{4}})(?!(?!T\d{{2}}:?\d{{2}})[\w/-]|\.\d))
   | (?P<date_us>(?<!\w)(?:{_MONTH})[ ]\d{{1,2}},[ ]\d{{4}}(?!\w))
   | (?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
   | (?P<phone>(?<![\w+])(?:\+\d{{1,3}}[ .-]?)?\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}(?!\w)|(?<![\w+])\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{2,5}}(?![\w])
@@ -231,15 +234,22 @@ class Pseudonyms:
         return self.digits(text, "secret", back, 16)
 
 
+def _ends(m: re.Match) -> list[int]:
+    """Where the value of a match may end: as matched, else (cards and IBANs, whose last groups are optional) at a group before."""
+    borders = {"card": " -", "iban": " "}.get(m.lastgroup, "")
+    return [m.end(), *(k for k in range(m.end() - 1, m.start(), -1) if m.string[k] in borders)]
+
+
 def find(text: str, valid=lambda kind, value: True) -> list[tuple[int, int, str]]:
     """Places that look like values and are valid: start, end and kind, in order and apart."""
     found, at = [], 0
     while m := _START.search(text, at):
         at = m.start()
         v = _FOUND.match(text, at)
-        if v and valid(v.lastgroup, v[0]):
-            found.append((at, v.end(), v.lastgroup))
-            at = v.end()
+        end = next((k for k in _ends(v) if valid(v.lastgroup, text[at:k])), None) if v else None
+        if end:
+            found.append((at, end, v.lastgroup))
+            at = end
         elif text[at].isdigit():  # a value doesn't begin within a number
             while at < len(text) and text[at].isdigit():
                 at += 1

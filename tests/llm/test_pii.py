@@ -44,6 +44,23 @@ def test_neighbours():
     assert [k for *_, k in pii.replace(text, P)[1]] == ["card", "ip", "card", "card"]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("4111 1111 1111 1111 12/25", "card", "4111 1111 1111 1111"), ("pay 4111-1111-1111-1111 123", "card", "4111-1111-1111-1111"),
+        ("ES91 2100 0418 4502 0005 1332 BIC", "iban", "ES91 2100 0418 4502 0005 1332"), ("ES91 2100 0418 4502 0005 1332 CODE ABC", "iban", "ES91 2100 0418 4502 0005 1332"),
+        ("at 2020-03-05T12:30:00Z", "date", "2020-03-05"), ("20 2020-03-05T1230", "date", "2020-03-05"),
+    ],
+)
+def test_values_before_what_could_be_their_tail(text, kind, value):
+    new, places = pii.replace(text, P)
+    assert [(text[a:b], k) for a, b, k in places] == [(value, kind)] and value not in new and new.endswith(text[places[0][1] :])
+
+
+def test_a_date_before_a_word_stays():
+    assert pii.replace("2020-03-05Total 2020-03-05Tea", P)[1] == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 10**6), st.integers(1, 60), st.integers(1, 60))
 def test_permutation(value, left, right):
