@@ -69,10 +69,10 @@ def recommendations(algorithm: str, k: int, importance: DataFrame, sizes: DataFr
 
 
 def report(title: str, facts: list[tuple[str, str]], importance: DataFrame, results: DataFrame) -> str:
-    """A text of facts, the ten most important features, and all results (name, k, silhouette) by falling silhouette."""
+    """A text of facts, the ten most important features, and all results (name, k, silhouette) by falling silhouette; without one a model was not tried."""
     rule, thin = "=" * 80, "-" * 40
     lines = [rule, title, rule, *(f"{k}: {v}" for k, v in facts), "", "TOP 10 SEPARATING FEATURES", thin]
     lines += [f"{r['rank']:2d}. {r.feature:<30} {r.importance:.6f}" for r in top_features(importance, 10).orderBy("rank").collect()]
     lines += ["", "ALL RESULTS", thin]
-    lines += [f"{r.name:<28} | clusters: {r.k:2d} | silhouette: {r.silhouette:.4f}" for r in results.orderBy(F.desc("silhouette"), "name").collect()]
+    lines += [f"{r.name:<28} | clusters: {r.k:2d} | silhouette: {'not tried' if r.silhouette is None else format(r.silhouette, '.4f')}" for r in results.orderBy(F.desc("silhouette"), "name").collect()]
     return "\n".join(lines)

@@ -42,7 +42,7 @@ def projected_importance(encoded: list[float], loadings: list[list[float]]) -> l
     return [x / total for x in raw]
 
 
-def cluster_run(features: DataFrame, names: list[str], folder: str, ks: range = range(2, 9), eps: tuple[float, ...] = (), id_col: str = "uid") -> DataFrame:
+def cluster_run(features: DataFrame, names: list[str], folder: str, ks: range = range(2, 9), eps: tuple[float, ...] = clusters.EPS, id_col: str = "uid") -> DataFrame:
     """Scale, search, score and write: clusters.csv, results.csv, importance.csv and report.txt below the folder; returns the results."""
     from annogrid.operators.features import standardised
 

@@ -254,16 +254,22 @@ def scores(points: DataFrame) -> DataFrame:
     return mean.crossJoin(calinski_harabasz(points)).crossJoin(davies_bouldin(points))
 
 
-def search(points: DataFrame, ks: range = range(2, 9), eps: tuple[float, ...] = (), seed: int = 42) -> DataFrame:
+#: Ten values from 0.1 to 2.
+EPS = tuple(0.1 + 1.9 * i / 9 for i in range(10))
+
+
+def search(points: DataFrame, ks: range = range(2, 9), eps: tuple[float, ...] = EPS, seed: int = 42, most: int = 4000) -> DataFrame:
     """(name, k, silhouette, calinski_harabasz, davies_bouldin, best) of every model; DBSCAN results with noise are left out.
 
-    The best is the first by falling silhouette, in the order in which the models were tried.
+    The best is the first by falling silhouette, in the order in which the models were tried. Above `most` points Ward
+    linkage isn't tried: its models have rows without scores.
     """
     from functools import reduce
 
     plain, found = points.select("id", "v"), []
     tried = [(f"kmeans_{k}", kmeans_labels, k) for k in ks] + [(f"gmm_{k}", gmm_labels, k) for k in ks]
-    tried += [(f"agglomerative_{k}", ward_labels, k) for k in ks] if plain.limit(4001).count() <= 4000 else []
+    left_out = [] if plain.limit(most + 1).count() <= most else [(f"agglomerative_{k}", k) for k in ks]
+    tried += [] if left_out else [(f"agglomerative_{k}", ward_labels, k) for k in ks]
     labelled = [(name, fn(plain, k)) for name, fn, k in tried] + [(f"dbscan_{e}", dbscan(plain, e)) for e in eps]
     for position, (name, labels) in enumerate(labelled):
         row = labels.agg(F.count_distinct("label").alias("k"), F.min("label").alias("least")).first()
@@ -273,4 +279,7 @@ def search(points: DataFrame, ks: range = range(2, 9), eps: tuple[float, ...] =
     if not found:
         raise ValueError("no clustering with two clusters or more")
     table = reduce(DataFrame.unionByName, found)
+    if left_out:
+        rows = [(position, name, k) for position, (name, k) in enumerate(left_out, len(labelled))]
+        table = table.unionByName(points.sparkSession.createDataFrame(rows, "position int, name string, k int"), allowMissingColumns=True)
     return table.withColumn("best", F.row_number().over(Window.orderBy(F.desc("silhouette"), "position")) == 1)
