@@ -279,7 +279,7 @@ def search(points: DataFrame, ks: range = range(2, 9), eps: tuple[float, ...] =
     if not found:
         raise ValueError("no clustering with two clusters or more")
     table = reduce(DataFrame.unionByName, found)
-    if left_out:
-        rows = [(position, name, k) for position, (name, k) in enumerate(left_out, len(labelled))]
-        table = table.unionByName(points.sparkSession.createDataFrame(rows, "position int, name string, k int"), allowMissingColumns=True)
+    for name, k in left_out:
+        row = table.limit(1).select(F.lit(len(labelled)).alias("position"), F.lit(name).alias("name"), F.lit(k).alias("k"))
+        table = table.unionByName(row, allowMissingColumns=True)
     return table.withColumn("best", F.row_number().over(Window.orderBy(F.desc("silhouette"), "position")) == 1)

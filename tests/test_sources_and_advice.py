@@ -118,8 +118,6 @@ def test_search_tries_ten_eps_and_names_what_it_leaves_out(spark):
     p = spark.createDataFrame([(i, [float(i % 3) * 10 + (i % 7) * 0.1, float(i % 3)]) for i in range(45)], "id long, v array<double>")
     found = {r.name: r for r in clusters.search(p, range(2, 4), eps=(1.0,), most=44).collect()}
     assert found["agglomerative_2"].silhouette is None and found["agglomerative_3"].k == 3 and not found["agglomerative_3"].best
-    importance = spark.createDataFrame([("a", 1.0)], "feature string, importance double")
-    assert "not tried" in advice.report("R", [], importance, spark.createDataFrame([("agglomerative_2", 2, None)], "name string, k int, silhouette double"))
     assert sum(r.best for r in found.values()) == 1 and found["dbscan_1.0"].silhouette > 0.8
 
 
