@@ -30,7 +30,9 @@ def tiles(resolutions: DataFrame) -> DataFrame:
     xs, tile_w = _starts(F.col("width"), F.col("x_overlap"))
     ys, tile_h = _starts(F.col("height"), F.col("y_overlap"))
     # Starts are made distinct within the arrays: a distinct of the rows would let Catalyst drop the caller's distinct
-    # of the resolutions, and every image would be tiled.
+    # of the resolutions, and every image would be tiled. Outer explodes, as from an inner one Catalyst would infer a
+    # filter on the array's size and push the whole expression below that distinct.
     rows = resolutions.select("width", "height", F.array_distinct(xs).alias("xs"), F.array_distinct(ys).alias("ys"), tile_w.alias("tw"), tile_h.alias("th"))
-    rows = rows.select("width", "height", "xs", "tw", "th", F.explode("ys").alias("y0")).select("width", "height", "tw", "th", "y0", F.explode("xs").alias("x0"))
+    rows = rows.select("width", "height", "xs", "tw", "th", F.explode_outer("ys").alias("y0")).select("width", "height", "tw", "th", "y0", F.explode_outer("xs").alias("x0"))
+    rows = rows.where(F.col("x0").isNotNull() & F.col("y0").isNotNull())
     return rows.select("width", "height", "x0", "y0", F.least(F.col("x0") + F.col("tw"), "width").alias("x1"), F.least(F.col("y0") + F.col("th"), "height").alias("y1"))

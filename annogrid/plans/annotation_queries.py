@@ -226,16 +226,39 @@ def all_invalid(spark, sf_dir):
     return rects.invalid(_rects(spark, sf_dir)).select(F.col("idx").alias("uid"))
 
 
+_STRIPS = """cuts AS (SELECT DISTINCT image_id, unnest([y0, y1]) AS y FROM rects),
+  strips AS (SELECT image_id, y AS y_low, lead(y) OVER (PARTITION BY image_id ORDER BY y) AS y_high FROM cuts),
+  cover AS (SELECT s.image_id, y_low, y_high, idx, x0, x1 FROM strips s JOIN rects r ON r.image_id = s.image_id AND y0 <= y_low AND y_high <= y1)"""
+
+
 @query(
     "coverage_depth", "annotations", "rects",
-    body="""WITH events AS (SELECT image_id, x0 AS x, 1 AS d FROM rects UNION ALL SELECT image_id, x1, -1 FROM rects),
-    steps AS (SELECT image_id, x, sum(d) AS d FROM events GROUP BY 1, 2),
-    regions AS (SELECT image_id, x AS x0, lead(x) OVER w AS x1, CAST(sum(d) OVER (PARTITION BY image_id ORDER BY x ROWS UNBOUNDED PRECEDING) AS BIGINT) AS depth
-      FROM steps WINDOW w AS (PARTITION BY image_id ORDER BY x))
-    SELECT image_id, x0, x1, depth FROM regions WHERE depth >= 2 AND x1 IS NOT NULL""",
+    body=f"""WITH {_STRIPS}, xs AS (SELECT DISTINCT image_id, y_low, y_high, unnest([x0, x1]) AS x FROM cover),
+    cells AS (SELECT *, lead(x) OVER w AS x_next, row_number() OVER w AS k FROM xs WINDOW w AS (PARTITION BY image_id, y_low ORDER BY x)),
+    depths AS (SELECT c.image_id, c.y_low, any_value(c.y_high) AS y_high, x, any_value(x_next) AS x_next, any_value(k) AS k, count(*) AS n
+      FROM cells c JOIN cover r ON r.image_id = c.image_id AND r.y_low = c.y_low AND x0 <= x AND x_next <= x1 GROUP BY c.image_id, c.y_low, x),
+    levels AS (SELECT *, unnest(range(2, n + 1)) AS depth FROM depths),
+    islands AS (SELECT *, k - row_number() OVER (PARTITION BY image_id, y_low, depth ORDER BY k) AS island FROM levels),
+    regions AS (SELECT image_id, y_low, any_value(y_high) AS y_high, depth, min(x) AS x0, max(x_next) AS x1 FROM islands GROUP BY image_id, y_low, depth, island),
+    open AS (SELECT g.*, r.idx, row_number() OVER (PARTITION BY g.image_id, g.y_low, g.depth, g.x0 ORDER BY r.x0 = g.x0, r.idx) AS place
+      FROM regions g JOIN cover r ON r.image_id = g.image_id AND r.y_low = g.y_low AND r.x0 <= g.x0 AND g.x0 <= r.x1),
+    named AS (SELECT image_id, x0, x1, y_low, y_high, depth, string_agg(idx, ',' ORDER BY idx) AS members FROM open WHERE place <= depth GROUP BY ALL)
+    SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY depth DESC, x0, y_low) - 1 AS INT) AS position, x0, x1, y_low, y_high, depth, members FROM named""",
 )
 def coverage_depth(spark, sf_dir):
-    return rects.coverage_depth(_rects(spark, sf_dir))
+    return rects.coverage_depth(_rects(spark, sf_dir)).withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+
+
+@query(
+    "active_sets", "annotations", "rects",
+    body=f"""WITH {_STRIPS}, events AS (SELECT image_id, y_low, y_high, idx, x0 AS x, 0 AS ends FROM cover UNION ALL SELECT image_id, y_low, y_high, idx, x1, 1 FROM cover)
+    SELECT e.image_id, e.y_low, any_value(e.y_high) AS y_high, e.x, CAST(e.ends AS INT) AS ends, e.idx, string_agg(r.idx, ',' ORDER BY r.idx) AS members
+    FROM events e JOIN cover r ON r.image_id = e.image_id AND r.y_low = e.y_low AND (r.x0 < e.x OR (r.x0 = e.x AND (e.ends = 1 OR r.idx <= e.idx))) AND (r.x1 > e.x OR (r.x1 = e.x AND (e.ends = 0 OR r.idx > e.idx)))
+    GROUP BY e.image_id, e.y_low, e.x, e.ends, e.idx""",
+)
+def active_sets(spark, sf_dir):
+    found = rects.active_sets(_rects(spark, sf_dir)).withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+    return found.select("image_id", "y_low", "y_high", "x", "ends", "idx", "members")
 
 
 @query("overlap_pairs_one_plane", "annotations", "rects", body=f"SELECT a.idx AS a, b.idx AS b FROM rects a JOIN rects b ON a.image_id = b.image_id AND {_CROSS} WHERE a.idx % 2 = 0 AND b.idx % 2 = 1")
@@ -249,9 +272,9 @@ def overlap_pairs_one_plane(spark, sf_dir):
 
 
 _PI = "3.141592653589793"
-_BOX = f"""round(w, 6) AS width, round(h, 6) AS height, round(w * h, 6) AS area, round(w / h, 6) AS aspect_ratio, round(x + w / 2, 6) AS x_center, round(y + h / 2, 6) AS y_center,
-  round(2 * (w + h), 6) AS perimeter, round(sqrt(w * w + h * h), 6) AS diagonal, round(4 * {_PI} * w * h / (2 * (w + h) * (2 * (w + h))), 6) AS compactness,
-  round(greatest(w, h) / least(w, h), 6) AS elongation, round(w * h / ((w + h) / 2 * ((w + h) / 2)), 6) AS rectangularity"""
+_BOX = f"""round(w, 6) AS bbox_width, round(h, 6) AS bbox_height, round(w * h, 6) AS bbox_area, round(w / h, 6) AS bbox_aspect_ratio, round(x + w / 2, 6) AS bbox_x_center,
+  round(y + h / 2, 6) AS bbox_y_center, round(2 * (w + h), 6) AS bbox_perimeter, round(sqrt(w * w + h * h), 6) AS bbox_diagonal, round(4 * {_PI} * w * h / (2 * (w + h) * (2 * (w + h))), 6) AS bbox_compactness,
+  round(greatest(w, h) / least(w, h), 6) AS bbox_elongation, round(w * h / ((w + h) / 2 * ((w + h) / 2)), 6) AS bbox_rectangularity"""
 
 
 @query("bbox_features", "annotations", body=f"SELECT uid, {_BOX} FROM annotations")
@@ -259,25 +282,27 @@ def bbox_features(spark, sf_dir):
     return features.with_features(derive.annotations(spark, sf_dir), features.box_features(*map(F.col, "xywh")), ["uid"])
 
 
-_BOW = "(line % 3 = 0)"
-_SEG = f"""segs AS (SELECT uid, w, h, CASE WHEN {_BOW} THEN 0.0 ELSE w * h END AS area, CASE WHEN {_BOW} THEN 2 * sqrt(w * w + h * h) + 2 * h ELSE 2 * (w + h) END AS peri FROM annotations)"""
+# Area and perimeter by the shoelace sum over the polygon's corners in their order, which the SQL lists itself.
+_SEG = """corners AS (SELECT uid, w, h, k, x + CASE WHEN line % 3 = 0 THEN [0, 1, 1, 0] ELSE [0, 1, 1, 0] END[k + 1] * w AS px,
+    y + CASE WHEN line % 3 = 0 THEN [0, 1, 0, 1] ELSE [0, 0, 1, 1] END[k + 1] * h AS py FROM annotations CROSS JOIN range(4) AS r(k)),
+  sides AS (SELECT c.*, n.px AS qx, n.py AS qy FROM corners c JOIN corners n ON n.uid = c.uid AND n.k = (c.k + 1) % 4),
+  segs AS (SELECT uid, any_value(w) AS w, any_value(h) AS h, abs(sum(px * qy - qx * py ORDER BY k)) / 2 AS area, sum(sqrt(pow(qx - px, 2) + pow(qy - py, 2)) ORDER BY k) AS peri, count(*) AS n FROM sides GROUP BY uid)"""
 
 
 @query(
     "segmentation_features", "annotations",
-    body=f"""WITH {_SEG} SELECT uid, round(area, 6) AS seg_area, round(peri, 6) AS seg_perimeter, round(area / (w * h), 6) AS seg_solidity, 4.0::DOUBLE AS seg_points,
-    round(4 * {_PI} * area / (peri * peri), 6) AS seg_compactness FROM segs""",
+    body=f"""WITH {_SEG} SELECT uid, n::DOUBLE AS segmentation_points, round(area, 6) AS segmentation_area, round(CASE WHEN area > 0 THEN w * h / area ELSE 1 END, 6) AS bbox_to_seg_ratio,
+    round(peri, 6) AS segmentation_perimeter, round(4 * {_PI} * area / (peri * peri), 6) AS seg_circularity FROM segs""",
 )
 def segmentation_features(spark, sf_dir):
     boxes = derive.with_segmentation(derive.annotations(spark, sf_dir))
     return features.with_features(boxes, features.segmentation_features(F.col("segmentation"), F.col("w"), F.col("h")), ["uid"])
 
 
-_SPATIAL = """(x + w / 2) / iw AS relative_x, (y + h / 2) / ih AS relative_y, w / iw AS relative_width, h / ih AS relative_height,
-  w * h / (iw * ih) AS relative_area, round(sqrt(pow(x + w / 2 - iw / 2.0, 2) + pow(y + h / 2 - ih / 2.0, 2)) / far, 6) AS center_distance,
-  least(x, y, iw - (x + w), ih - (y + h)) / least(iw, ih) AS edge_proximity,
-  round(sqrt(pow(x + w / 2, 2) + pow(y + h / 2, 2)) / far, 6) AS corner_tl, round(sqrt(pow(x + w / 2 - iw, 2) + pow(y + h / 2, 2)) / far, 6) AS corner_tr,
-  round(sqrt(pow(x + w / 2, 2) + pow(y + h / 2 - ih, 2)) / far, 6) AS corner_bl, round(sqrt(pow(x + w / 2 - iw, 2) + pow(y + h / 2 - ih, 2)) / far, 6) AS corner_br"""
+_SPATIAL = """x / iw AS relative_x, y / ih AS relative_y, w / iw AS relative_width, h / ih AS relative_height, w * h / (iw * ih) AS relative_area,
+  round(sqrt(pow(x + w / 2 - iw / 2, 2) + pow(y + h / 2 - ih / 2, 2)) / far, 6) AS distance_from_center, least(x, y, iw - (x + w), ih - (y + h)) / least(iw, ih) AS edge_proximity,
+  round(sqrt(x * x + y * y) / far, 6) AS corner_distance_tl, round(sqrt(pow(iw - (x + w), 2) + pow(ih - (y + h), 2)) / far, 6) AS corner_distance_br,
+  (x + w / 2) / iw AS horizontal_position, (y + h / 2) / ih AS vertical_position"""
 _PLACED = "placed AS (SELECT a.*, i.width::DOUBLE AS iw, i.height::DOUBLE AS ih, sqrt(i.width * i.width + i.height * i.height) AS far FROM annotations a JOIN images i ON a.image_id = i.id)"
 
 
@@ -297,6 +322,7 @@ def spatial_features(spark, sf_dir):
 
 @query("combined_features", "images", "annotations", body=f"WITH {_PLACED} SELECT category_id, uid, image_id, {_BOX}, {_SPATIAL} FROM placed")
 def combined_features(spark, sf_dir):
+    """Box features and place features of every annotation, joined by its ids."""
     keys = ["category_id", "uid", "image_id"]
     box = features.with_features(derive.annotations(spark, sf_dir), features.box_features(*map(F.col, "xywh")), keys)
     return box.join(features.with_features(_placed(spark, sf_dir), _spatial(), keys, exact=features.RATIOS), keys)
@@ -411,16 +437,24 @@ def merge_annotation_ids_strict(spark, sf_dir):
     return merge.remapped_ids(*_two_datasets(spark, sf_dir), strict=True)
 
 
-@query("merge_annotation_ids")
+def _fold(base: str, fresh: str) -> str:
+    """SQL for the running collisions of fresh (position, id) with base (id), as the fixed point of whole passes."""
+    return f"""top AS MATERIALIZED (SELECT coalesce(max(id), 0) AS t FROM {base}),
+    flags AS MATERIALIZED (SELECT position, id, id - (SELECT t FROM top) AS over_top, id IN (SELECT id FROM {base}) OR row_number() OVER (PARTITION BY id ORDER BY position) > 1 AS flagged FROM {fresh}),
+    passes AS (SELECT 0 AS n, *, flagged AS hit, true AS changed FROM flags
+      UNION ALL SELECT n + 1, position, id, over_top, flagged, now, bool_or(now <> hit) OVER () FROM (
+        SELECT *, flagged OR (over_top >= 1 AND over_top <= coalesce(sum(hit::INT) OVER (ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS now FROM passes WHERE changed)),
+    folded AS (SELECT position, id, hit, CAST(CASE WHEN hit THEN (SELECT t FROM top) + count(*) FILTER (hit) OVER (ORDER BY position) ELSE id END AS BIGINT) AS new_id FROM passes WHERE NOT changed)"""
+
+
+@query("merge_annotation_ids", "annotations", body=f"WITH {_TWO}, {_fold('base', 'fresh')} SELECT position, id, new_id, hit AS collided FROM folded")
 def merge_annotation_ids(spark, sf_dir):
-    return merge.remapped_ids(*_two_datasets(spark, sf_dir))
+    return merge.remapped_ids(*_two_datasets(spark, sf_dir)).select("position", "id", "new_id", "collided")
 
 
 @query(
     "merge_images", "images",
-    body="""WITH base AS (SELECT id FROM images WHERE id % 3 <> 0), fresh AS (SELECT id FROM images WHERE id % 2 = 0)
-    SELECT id AS old_id, CASE WHEN taken THEN (SELECT max(id) FROM base) + count(*) FILTER (taken) OVER (ORDER BY id) ELSE id END AS new_id
-    FROM (SELECT id, id IN (SELECT id FROM base) AS taken FROM fresh)""",
+    body=f"WITH base AS (SELECT id FROM images WHERE id % 3 <> 0), fresh AS (SELECT id, id AS position FROM images WHERE id % 2 = 0), {_fold('base', 'fresh')} SELECT id AS old_id, new_id FROM folded",
 )
 def merge_images(spark, sf_dir):
     i = derive.images(spark, sf_dir)
@@ -429,10 +463,14 @@ def merge_images(spark, sf_dir):
 
 @query(
     "merge_categories", "categories",
-    body="""WITH base AS (SELECT id, name FROM categories WHERE id % 2 = 0), fresh AS (SELECT id + 1000 AS id, name FROM categories WHERE id % 3 <> 0)
-    SELECT f.id AS old_id, CAST(coalesce(b.id, (SELECT max(id) FROM base) + count(*) FILTER (b.id IS NULL) OVER (ORDER BY f.id)) AS BIGINT) AS new_id, b.id IS NULL AS added
-    FROM fresh f LEFT JOIN base b USING (name)""",
+    body="""WITH base AS (SELECT id, name FROM categories WHERE id % 2 = 0 UNION ALL SELECT id + 500, name FROM categories WHERE id % 4 = 0),
+    fresh AS (SELECT id + 1000 AS id, name FROM categories WHERE id % 3 <> 0 UNION ALL SELECT id + 2000, name FROM categories WHERE id % 5 = 1),
+    known AS (SELECT name, max(id) AS k FROM base GROUP BY 1), firsts AS (SELECT name, min(id) AS f FROM fresh WHERE name NOT IN (SELECT name FROM base) GROUP BY 1),
+    given AS (SELECT name, f, (SELECT max(id) FROM base) + row_number() OVER (ORDER BY f) AS number FROM firsts)
+    SELECT f.id AS old_id, CAST(coalesce(k, number) AS BIGINT) AS new_id, coalesce(f.id = g.f, false) AS added FROM fresh f LEFT JOIN known USING (name) LEFT JOIN given g USING (name)""",
 )
 def merge_categories(spark, sf_dir):
+    """Names that come twice on either side."""
     c = derive.categories(spark, sf_dir)
-    return merge.merged_categories(c.where("id % 2 = 0"), c.where("id % 3 <> 0").withColumn("id", F.col("id") + 1000))
+    moved = lambda where, by: c.where(where).withColumn("id", F.col("id") + by)
+    return merge.merged_categories(c.where("id % 2 = 0").unionByName(moved("id % 4 = 0", 500)), moved("id % 3 <> 0", 1000).unionByName(moved("id % 5 = 1", 2000)))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from annogrid.functions import polygons as pg
 from annogrid.functions import strings
-from annogrid.operators import advice, clusters, collisions, dashboard, frames, homography, sketches, stats
-from annogrid.sources import generate
-from annogrid.plans import derive
+from annogrid.operators import advice, clusters, collisions, dashboard, features, frames, homography, sketches, stats
+from annogrid.plans import annotation_queries, derive
 from annogrid.plans.derive import sql
+from annogrid.sources import generate
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -317,34 +317,42 @@ def frames_too_short(spark, sf_dir):
     return frames.check_window(_frames(spark, sf_dir), "user_id", "ts", 100000.0, 2400000.0)
 
 
+_FEATURES = ("bbox_width", "bbox_height", "bbox_area", "bbox_aspect_ratio", "bbox_x_center", "bbox_y_center", "bbox_perimeter", "bbox_diagonal", "bbox_compactness", "bbox_elongation", "bbox_rectangularity",
+             "relative_x", "relative_y", "relative_width", "relative_height", "relative_area", "distance_from_center", "edge_proximity", "corner_distance_tl", "corner_distance_br", "horizontal_position", "vertical_position")
+
+
 def _importance(spark, sf_dir):
-    """A share for each of nine named features, by the mean of an embedding's component."""
-    names = F.array(*(F.lit(x) for x in _NAMES))
-    means = clusters.cluster_means(points(spark, sf_dir).withColumn("label", F.lit(0)), None).where(F.col("feature") < len(_NAMES))
-    return means.select(F.get(names, F.col("feature")).alias("feature"), F.abs("mean").alias("importance"))
+    """How much each feature of the annotations separates the categories."""
+    return features.separation(annotation_queries.combined_features(spark, sf_dir), list(_FEATURES), "category_id")
+
+
+_IMPORTANCE = f"""feats AS ({annotation_queries.ORACLES["combined_features"]}), wide AS (UNPIVOT (SELECT category_id, {", ".join(f"{c}::DOUBLE AS {c}" for c in _FEATURES)} FROM feats) ON {", ".join(_FEATURES)} INTO NAME feature VALUE x),
+  totals AS (SELECT feature, avg(x) AS m, var_pop(x) * count(x) AS whole FROM wide GROUP BY 1), means AS (SELECT feature, category_id, avg(x) AS c, count(x) AS n FROM wide GROUP BY 1, 2),
+  shares AS (SELECT feature, sum(n * pow(c - m, 2)) / any_value(whole) AS share FROM means JOIN totals USING (feature) GROUP BY 1), imp AS (SELECT feature, round(share / (SELECT sum(share) FROM shares), 9) AS importance FROM shares)"""
 
 
-_NAMES = ("bbox_x_center", "bbox_area", "bbox_elongation", "bbox_width", "bbox_height", "relative_x", "relative_y", "horizontal_position", "seg_area")
-_IMPORTANCE = f"imp AS (SELECT ([{', '.join(repr(x) for x in _NAMES)}])[feature + 1] AS feature, abs(avg(x)) AS importance FROM long WHERE feature < {len(_NAMES)} GROUP BY feature)"
+@query("feature_importance", body=f"WITH {_IMPORTANCE} SELECT feature, round(importance, 6) AS importance FROM imp")
+def feature_importance(spark, sf_dir):
+    return _importance(spark, sf_dir).withColumn("importance", F.round("importance", 6))
 
 
-@query("top_features", body=f"WITH {_POINTS}, {_IMPORTANCE} SELECT CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INT) AS rank, feature, round(importance, 9) AS importance FROM imp QUALIFY rank <= 8")
+@query("top_features", body=f"WITH {_IMPORTANCE} SELECT CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INT) AS rank, feature, round(importance, 6) AS importance FROM imp QUALIFY rank <= 8")
 def top_features(spark, sf_dir):
-    return advice.top_features(_importance(spark, sf_dir), 8).withColumn("importance", F.round("importance", 9))
+    return advice.top_features(_importance(spark, sf_dir), 8).withColumn("importance", F.round("importance", 6))
 
 
 @query(
     "augmentation_advice",
-    body=f"""WITH {_POINTS}, {_IMPORTANCE}, s AS (SELECT 'Apply random translations, crops, and spatial flips.' AS a, 0 AS k WHERE EXISTS (SELECT 1 FROM imp WHERE feature IN ('bbox_x_center', 'horizontal_position') AND importance > 0.001)
-    UNION ALL SELECT 'Apply random scaling and aspect ratio jitter.', 1 WHERE EXISTS (SELECT 1 FROM imp WHERE feature IN ('bbox_area', 'bbox_width', 'bbox_height') AND importance > 0.001)
-    UNION ALL SELECT 'Consider random rotations and stretching.', 2 WHERE EXISTS (SELECT 1 FROM imp WHERE feature = 'bbox_elongation' AND importance > 0.001))
+    body=f"""WITH {_IMPORTANCE}, s AS (SELECT 'Apply random translations, crops, and spatial flips.' AS a, 0 AS k WHERE EXISTS (SELECT 1 FROM imp WHERE feature IN ('bbox_x_center', 'bbox_y_center', 'horizontal_position', 'vertical_position') AND importance > 0.02)
+    UNION ALL SELECT 'Apply random scaling and aspect ratio jitter.', 1 WHERE EXISTS (SELECT 1 FROM imp WHERE feature IN ('bbox_area', 'bbox_width', 'bbox_height', 'bbox_aspect_ratio') AND importance > 0.02)
+    UNION ALL SELECT 'Consider random rotations and stretching.', 2 WHERE EXISTS (SELECT 1 FROM imp WHERE feature = 'bbox_elongation' AND importance > 0.02))
     SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INT) AS position, a AS advice FROM s""",
 )
 def augmentation_advice(spark, sf_dir):
-    return advice.augmentations(_importance(spark, sf_dir), 0.001)
+    return advice.augmentations(_importance(spark, sf_dir), 0.02)
 
 
-@query("weak_features", body=f"WITH {_POINTS}, {_IMPORTANCE} SELECT feature FROM imp WHERE importance < (SELECT avg(importance) / 2 FROM imp)")
+@query("weak_features", body=f"WITH {_IMPORTANCE} SELECT feature FROM imp WHERE importance < (SELECT avg(importance) / 2 FROM imp)")
 def weak_features(spark, sf_dir):
     return advice.weak_features(_importance(spark, sf_dir))
 

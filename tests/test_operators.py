@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from annogrid.functions import polygons as pg
 from annogrid.functions import strings
-from annogrid.operators import clusters, collisions, graph, homography, merge, pixels, rects, sketches, spectrum, stats
+from annogrid.operators import advice, clusters, collisions, features, graph, homography, merge, pixels, rects, sketches, spectrum, stats
 from annogrid.sources import coco, files
 from annogrid.streaming import frames as stream
 
@@ -62,8 +62,37 @@ def test_grid_join_is_the_plain_join(spark, seed, cell):
 
 
 def test_depth(spark):
-    got = [(r.x0, r.x1, r.depth) for r in rects.coverage_depth(made(spark, [(0, 0, 4, 4), (3, 0, 7, 4), (3, 0, 5, 4)])).orderBy("x0").collect()]
-    assert got == [(3.0, 4.0, 3), (4.0, 5.0, 2)]
+    got = [(r.x0, r.x1, r.y_low, r.y_high, r.depth, r.members) for r in rects.coverage_depth(made(spark, [(0, 0, 4, 4), (3, 0, 7, 4), (3, 0, 5, 4)])).orderBy("position").collect()]
+    assert got == [(3.0, 4.0, 0.0, 4.0, 3, [0, 1, 2]), (3.0, 5.0, 0.0, 4.0, 2, [0, 1])]
+    stacked = made(spark, [(0, 0, 4, 2), (0, 3, 4, 5)])
+    assert rects.coverage_depth(stacked).count() == 0  # one above the other
+    shifted = [(r.x0, r.x1, r.y_low, r.y_high, r.depth) for r in rects.coverage_depth(made(spark, [(0, 0, 4, 4), (2, 2, 6, 6), (9, 1, 9, 3)])).orderBy("position").collect()]
+    assert shifted == [(2.0, 4.0, 2.0, 3.0, 2), (2.0, 4.0, 3.0, 4.0, 2)]
+    sets = {(r.y_low, r.x, r.ends): r.members for r in rects.active_sets(made(spark, [(0, 0, 4, 4), (2, 0, 6, 4)])).collect()}
+    assert sets == {(0.0, 0.0, 0): [0], (0.0, 2.0, 0): [0, 1], (0.0, 4.0, 1): [1]}
+
+
+def test_crowded_images(spark):
+    rng = random.Random(7)
+    rows = [(i, i % 2, *(float(rng.randint(0, 60)) for _ in range(4))) for i in range(120)]
+    df = spark.createDataFrame(rows, RECTS)
+    assert {tuple(r) for r in rects.nested(df).collect()} == {tuple(r) for r in rects.nested(df, most=10).collect()}
+    plain, grid = ({(r.idx, r.comp) for r in rects.overlap_groups(df, most=m).collect()} for m in (500, 10))
+    assert plain == grid and plain
+
+
+def test_features_by_hand(spark):
+    row = spark.createDataFrame([(10.0, 20.0, 30.0, 40.0, 100, 200)], "x double, y double, w double, h double, iw int, ih int")
+    f = features.spatial_features(*map(F.col, ("x", "y", "w", "h", "iw", "ih")))
+    got = row.select(*(v.alias(k) for k, v in f.items())).first().asDict()
+    far = math.hypot(100, 200)
+    want = {"relative_x": 0.1, "relative_y": 0.1, "relative_width": 0.3, "relative_height": 0.2, "relative_area": 0.06, "distance_from_center": math.hypot(25, 60) / far, "edge_proximity": 0.1,
+            "corner_distance_tl": math.hypot(10, 20) / far, "corner_distance_br": math.hypot(60, 140) / far, "horizontal_position": 0.25, "vertical_position": 0.2}
+    assert got == pytest.approx(want)
+    polygons = spark.createDataFrame([([0.0, 0.0, 4.0, 0.0, 4.0, 3.0],), ([0.0, 0.0, 1.0, 1.0],), ([0.0] * 7,), (None,), ([1.0, 1.0] * 3,)], "p array<double>")
+    rows = [tuple(r) for r in polygons.select(*(v.alias(k) for k, v in features.segmentation_features(F.col("p"), F.lit(4.0), F.lit(3.0)).items())).collect()]
+    assert rows[0] == pytest.approx((3.0, 6.0, 2.0, 12.0, 4 * math.pi * 6 / 144)) and rows[1] == rows[2] == rows[3] == (0.0, 0.0, 1.0, 0.0, 0.0) and rows[4] == (3.0, 0.0, 1.0, 0.0, 0.0)
+    assert {n for names, _ in advice.SENTENCES for n in names} <= set(got) | set(features.box_features(*map(F.col, "xywh")))
 
 
 def test_components(spark):
@@ -106,6 +135,19 @@ def test_id_remap_is_the_fold(spark, base, new):
     assert len(set(strict)) == len(strict) and not set(fresh) & (set(base) | set(new))
 
 
+def test_remap_over_ranges(spark):
+    new = [k % 40 + 1 for k in range(200)]
+    b, n = spark.createDataFrame([(x,) for x in range(1, 21)], "id long"), spark.createDataFrame([(x, k) for k, x in enumerate(new)], "id long, position long").repartition(5)
+    assert [r.new_id for r in merge.remapped_ids(b, n).orderBy("position").collect()] == fold(set(range(1, 21)), new)
+
+
+def test_merged_categories_by_name(spark):
+    base = spark.createDataFrame([(1, "a"), (4, "a"), (2, "b")], "id long, name string")
+    new = spark.createDataFrame([(1, "x", 5), (2, "a", 4), (3, "x", 2), (4, "y", 9)], "id long, name string, position long")
+    got = {r.old_id: (r.new_id, r.added) for r in merge.merged_categories(base.withColumn("position", F.col("id")), new, "position").collect()}
+    assert got == {1: (5, False), 2: (4, False), 3: (5, True), 4: (6, True)}
+
+
 def test_merge(spark):
     frame = lambda rows, schema: spark.createDataFrame(rows, schema)
     ann = "id long, image_id long, category_id long, position long"

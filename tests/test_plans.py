@@ -8,7 +8,7 @@ from annogrid.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
 #: Queries that train models or run loops on the way to their plan.
-LOOPS = {"kmeans_labels", "gmm_labels", "best_k", "rf_importance", "ward_labels", "dbscan_labels", "overlap_groups", "overlap_invalid", "all_invalid", "merge_annotation_ids", "merge_annotation_ids_strict", "merge_images", "merge_categories", "box_shapes"}
+LOOPS = {"kmeans_labels", "gmm_labels", "best_k", "rf_importance", "ward_labels", "dbscan_labels", "overlap_groups", "overlap_invalid", "all_invalid", "nested_annotations", "merge_annotation_ids", "merge_annotation_ids_strict", "merge_images", "merge_categories", "box_shapes"}
 
 
 def plan(df):
@@ -32,3 +32,9 @@ def test_columns_and_filters_reach_the_scan(spark):
 def test_range_joins_are_equi_joins(spark):
     text = plan(catalog.QUERIES["overlap_pairs"](spark, DATA))
     assert re.search(r"(SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin) \[image_id", text)
+
+
+def test_tiles_are_cut_for_each_resolution_alone(spark):
+    text = plan(catalog.QUERIES["tiles_by_resolution"](spark, DATA))
+    below = text[text.rindex("HashAggregate") :]
+    assert "array_distinct" not in below and "sequence" not in below
