@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annogrid.llm.common import stage
+from annogrid.llm.common import released, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: what is left of a node's smaller neighbours goes to the smallest of them.
         least = hung.groupBy("u").agg(F.min("v").alias("m"))
         moved = hung.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, stage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        released(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if now == before:
             break

@@ -3,10 +3,10 @@
 Texts are cut into runs of SPAN bytes. Two light gated units (one update gate, no reset gate) read each run forwards
 and backwards; every position gets a probability for each language from both states, and a document's probability is
 the mean over its positions. The network is trained on the driver by backpropagation through time, on a sample of
-SAMPLE_ROWS rows at most (those with the smallest hash of the id), and applied to every byte of every text.
+SAMPLE_ROWS rows and SAMPLE_BYTES at most (those with the smallest hash of the id, whole), and applied to every byte of every text.
 
 Defined results: a text that is null, empty or without letters is `und` with score 0; ties go to the language that
-comes first by name; repeated rows get equal results; with no rows to learn from every text is `und`; with one
+comes first by name; repeated rows get equal results; rows without an id aren't learned from; with no rows to learn from every text is `und`; with one
 language every text with a letter is of it; other columns are not read.
 """
 
@@ -18,11 +18,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annogrid.llm.common import map_batches
+from annogrid.llm.common import bounded_sample, map_batches
 
 HIDDEN, SPAN = 8, 64
-#: Rows that are collected to the driver for training.
-SAMPLE_ROWS = 1200
+#: Rows that are collected to the driver for training, and bytes of them in all; whole texts only.
+SAMPLE_ROWS, SAMPLE_BYTES = 1200, 32 << 20
 STEPS, BATCH, RATE, SEED = 260, 256, 0.02, 11
 _LETTER = regex.compile(r"\p{L}")
 
@@ -162,12 +162,10 @@ def fit(texts: list[bytes], languages: list[str], steps: int = STEPS, seed: int
 
 
 def learn(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> LanguageNet | None:
-    """Fit on the usable rows with a language, those with the smallest hash of the id, `rows` at most; None if there are none."""
-    known = docs.select(id_col, text_col, lang_col).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & usable)
-    ids = known.select(id_col).where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    sample = known.join(F.broadcast(ids.distinct()), id_col).orderBy(F.xxhash64(id_col), id_col, lang_col, F.md5(text_col)).limit(rows)
-    found = sample.select(F.encode(text_col, "UTF-8"), lang_col).collect()
-    return fit([bytes(x[0]) for x in found], [x[1] for x in found]) if found else None
+    """Fit on the usable rows with a language, those with the smallest hash of the id: `rows` and SAMPLE_BYTES at most; None if there are none."""
+    known = docs.select(id_col, text_col, lang_col).where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & usable)
+    found = bounded_sample(known, id_col, text_col, lang_col, rows, SAMPLE_BYTES)
+    return fit([x[0] for x in found], [x[1] for x in found]) if found else None
 
 
 def predict(docs: DataFrame, net: LanguageNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,8 +4,8 @@ A document's UTF-8 bytes are embedded and convolved by learned filters of WIDTH
 reading WIDTH - 1 bytes of the next, cover the whole text; each filter's responses are max-pooled over a chunk, and the
 chunks' pooled responses are combined (their maximum and their mean) into one probability.
 
-The network is fitted on the driver on a sample of labelled rows, SAMPLE_ROWS at most: those with the smallest hash of
-the id. It is applied to every byte of every text on the executors.
+The network is fitted on the driver on a sample of labelled rows, SAMPLE_ROWS and SAMPLE_BYTES at most: those with the
+smallest hash of the id, whole; a text that no longer fits into SAMPLE_BYTES is passed over. It is applied to every byte of every text on the executors.
 
 Defined results: a null or empty text is one chunk of padding and gets that chunk's score; rows without a label, or
 whose text is null, are not learned from; rows with the same id in the labels count with the smaller label; repeated
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annogrid.llm.common import map_batches, texts_of
+from annogrid.llm.common import bounded_sample, map_batches, texts_of
 
 WIDTH, CHUNK, EMBED, FILTERS = 6, 512, 8, 16
 #: Labelled rows that are collected to the driver, and bytes of them in all; whole texts only.
@@ -150,19 +150,12 @@ def fold_of(id_col: str, modulus: int) -> Column:
 def learn(
     docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS
 ) -> ByteConvNet:
-    """Fit on the labelled rows with the smallest hash of the id among those that are usable, `rows` at most."""
+    """Fit on the labelled rows with the smallest hash of the id among those that are usable: `rows` and SAMPLE_BYTES at most."""
     known = labels.select(id_col, F.col(label_col).alias("_label")).where(F.col("_label").isNotNull() & F.col(id_col).isNotNull() & usable)
     known = known.groupBy(id_col).agg(F.min("_label").alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(rows)
     sample = docs.select(id_col, text_col).where(F.col(text_col).isNotNull() & usable).join(F.broadcast(known), id_col)
-    sample = sample.withColumn("_text", F.encode(text_col, "UTF-8")).orderBy(F.xxhash64(id_col), id_col, "_text")
-    texts, marks, size = [], [], 0
-    for row in sample.select("_text", "_label").limit(rows).collect():
-        if size + len(row[0]) > SAMPLE_BYTES and texts:
-            continue
-        texts.append(bytes(row[0]))
-        marks.append(int(row[1] > 0))
-        size += len(row[0])
-    return fit(texts, marks)
+    found = bounded_sample(sample, id_col, text_col, "_label", rows, SAMPLE_BYTES)
+    return fit([x[0] for x in found], [int(x[1] > 0) for x in found])
 
 
 def score(docs: DataFrame, net: ByteConvNet, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.7) -> DataFrame:

@@ -44,6 +44,17 @@ def test_templates_inside_an_article(spark):
     assert got[300] == "Title 300 Suivez nous Own words 300 that are longer than the rest Share this text"
 
 
+def test_names_alone_never_drop_prose():
+    cases = {
+        '<article><p>One</p><div class="share-price"><p>Two</p></div><div class="related-work"><p>Three</p></div></article>': "One Two Three",
+        '<article><p>One</p><div class="share-box">Post it</div><div class="related-posts top"><p>More</p></div><div id="ad-3">Buy</div></article>': "One",
+        '<body><div class="legal-history"><p>One</p></div><div class="cookieNotice">Two</div></body>': "One",
+        '<article><div class="ad x"><p>gone</p></div><p class="rail-transport">One</p><ul class="search-results-of-the-study"><li>Two</ul></article>': "One Two",
+    }
+    for page, text in cases.items():
+        assert html_extract.Page(page).text() == text, page
+
+
 def test_all_content_is_kept():
     cases = {
         '<div class="post"><p>One</div><div class="post">Two</div><section id="entry-3">Three</section>': "One Two Three",
@@ -75,3 +86,32 @@ def test_broken_markup():
     for page, text in cases.items():
         assert " ".join(text_of(parse(page), lambda node: node.tag in ("script", "style"))) == text, page
     assert html_extract.Page("<p>" + "word " * 200000).text() == " ".join(["word"] * 200000)
+
+
+def test_counts_decide_over_whole_hosts(spark):
+    """Unnamed elements: brute force over the host's pages says which recur, and exactly those go."""
+    import random
+
+    rng = random.Random(5)
+    blocks = {f"b{k}": f"<div><p>Block {k}</p><span>x{k}</span></div>" for k in range(12)}
+    rows, used = [], []
+    for i in range(120):
+        host = "big" if i % 3 else "small"
+        own = [b for k, b in enumerate(sorted(blocks)) if rng.random() < (0.05, 0.15, 0.3, 0.6)[k % 4]]
+        inside = i % 2
+        parts = "".join(blocks[b] for b in own)
+        words = f"<p>Own words number {i} of this page that are longer than what recurs around them and more</p>"
+        rows.append((i, f"https://{host}/{i}", f"<body><article>{words}{parts}</article></body>" if inside else f"<body>{parts}<div>{words}</div></body>"))
+        used.append((host, inside, own, f"Own words number {i} of this page that are longer than what recurs around them and more"))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, (host, inside, own, words) in enumerate(used):
+        peers = [u for u in used if u[0] == host]
+        among = [u for u in peers if u[1] == inside]
+        whole = len([u for u in peers if u[1]]) if inside else len(peers)
+        kept = []
+        for b in own:
+            n = sum(b in u[2] for u in among)
+            if not (n >= html_extract.MIN_PAGES and n >= whole * html_extract.MIN_SHARE):
+                kept.append(f"Block {b[1:]} x{b[1:]}")
+        want = [words, *kept] if inside else [*kept, words]
+        assert got[i] == " ".join(want), (i, rows[i])
