@@ -2,12 +2,17 @@
 
 Values are found by pattern and validated (check digits, calendar, octets, lengths), then permuted within the set of
 values of the same format: a card number becomes another number with a valid check digit and the same separators, a
-date another date in the same notation. The permutation depends on the key and the kind only, so that equal values get
-equal pseudonyms in all documents, whatever their separators, and the key's holder can invert it.
+date another date in the same notation. A value is first brought to one form (a card's digits, a day, a phone's country
+code and digits, an IBAN's capitals), and the permutation of that form depends on the key and the kind only: equal values
+get equal pseudonyms in all documents, each in its own notation, and the key's holder can invert it.
 
-Kinds: card (Luhn, 13 to 19 digits), iban (mod 97), ssn, phone, ip (IPv4), date (numeric and English, 1900 to 2099),
-email (letters and digits before the @), secret (hexadecimal strings of 16 or more
-with letters and digits).
+Kinds: card (Luhn, 13 to 19 digits), iban (mod 97, in capitals or small letters), ssn, phone, ip (IPv4), date (numeric and
+English, 1900 to 2099), email (letters and digits before the @), secret (hexadecimal strings of 16 or more with letters
+and digits; keys with a well-known prefix, which stays).
+
+Days up to the 12th and later ones are permuted among themselves: whether a date with strokes puts its day or its month
+first is told by a number over 12, and so stays as it was (else the month comes first). A phone number without a country
+code is linked with the same digits behind any code.
 
 A card or IBAN that is followed by what could be its last groups (an expiry date, a code, a capital word) ends at the last
 group with which it is valid; where a longer reading is valid by chance, that is taken. A date may have a time behind T.
@@ -20,22 +25,32 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import os
 import re
+import secrets
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from annogrid.llm.common import map_batches
 
 ROUNDS = 8
+_NAMED = {"date_us": "date", "token": "secret"}
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email", "secret")
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 _MONTHS = "January February March April May June July August September October November December".split()
 _MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in _MONTHS)
+#: fixed values: keys of well-known services, each by its prefix
+_KEYS = "AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[oprsu]_[0-9A-Za-z]{36}|github_pat_[0-9A-Za-z_]{82}|glpat-[0-9A-Za-z_-]{20}|sk_live_[0-9A-Za-z]{24}|xox[abprs]-[0-9A-Za-z-]{10,72}|AIza[0-9A-Za-z_-]{35}"
+_PREFIX = re.compile("AKIA|ASIA|gh[oprsu]_|github_pat_|glpat-|sk_live_|xox[abprs]-|AIza")
+#: fixed values: country calling codes of two digits; 1 and 7 have one, all others three
+_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _FOUND = re.compile(
     rf"""
-    (?P<secret>(?<![0-9A-Za-z])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{{16,}}(?![0-9A-Za-z]))
-  | (?P<iban>(?<![0-9A-Za-z])[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?![0-9A-Za-z]))
+    (?P<token>(?<![0-9A-Za-z])(?:{_KEYS})(?![0-9A-Za-z]))
+  | (?P<secret>(?<![0-9A-Za-z])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{{16,}}(?![0-9A-Za-z]))
+  | (?P<iban>(?<![0-9A-Za-z])[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?![0-9A-Za-z])
+      |(?<![0-9A-Za-z])[a-z]{{2}}\d{{2}}(?:[ ]?[a-z0-9]{{4}}){{2,7}}(?:[ ]?[a-z0-9]{{1,3}})?(?![0-9A-Za-z]))
   | (?P<ip>(?<![\w.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?![\w]|\.\d))
   | (?P<date>(?<![\w/.-])(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{4}}/\d{{2}}/\d{{2}}|\d{{1,2}}/\d{{1,2}}/\d{{4}}|\d{{1,2}}\.\d{{1,2}}\.\d{{4}}
       |\d{{1,2}}[ ](?:{_MONTH})[ ]\d{{4}})(?!(?!T\d{{2}}:?\d{{2}})[\w/-]|\.\d))
@@ -48,7 +63,7 @@ _FOUND = re.compile(
     re.X,
 )
 #: Where a value of the big pattern can begin; the search jumps from one such place to the next.
-_START = re.compile(rf"\d|[+(]\d|[A-Z]{{2}}\d|[a-f]+\d|(?:{_MONTH}) \d")
+_START = re.compile(rf"\d|[+(]\d|(?:{_PREFIX.pattern})[0-9A-Za-z]|(?:[A-Z]{{2}}|[a-z]{{2}})\d\d[ 0-9A-Za-z]|[a-f]+\d|(?:{_MONTH}) \d")
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 _DOMAIN = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 
@@ -118,12 +133,15 @@ class Pseudonyms:
         return "".join(out)
 
     def day(self, day: datetime.date, back: bool = False) -> datetime.date:
+        """Another day of the calendar, up to the 12th of its month if this one is."""
         span = _LAST - _FIRST + 1
         value = day.toordinal() - _FIRST
-        while True:  # a walk along the cycle stays within the calendar's days
+        while True:  # a walk along the cycle stays within the calendar's days of the same half
             value = self.permute(value, 271, 270, "date", back)
             if value < span:
-                return datetime.date.fromordinal(_FIRST + value)
+                new = datetime.date.fromordinal(_FIRST + value)
+                if (new.day > 12) == (day.day > 12):
+                    return new
 
     def pseudonym(self, kind: str, text: str, back: bool = False) -> str | None:
         """Another value of the same kind and format, or None if the text isn't a valid one."""
@@ -146,14 +164,15 @@ class Pseudonyms:
         return self._spread(text, body + str(luhn(body)))
 
     def _iban(self, text: str, back: bool) -> str | None:
-        plain = text.replace(" ", "")
+        plain = text.replace(" ", "").upper()
         numeric = lambda s: "".join(str(int(x, 36)) for x in s)
         if not 15 <= len(plain) <= 34 or int(numeric(plain[4:] + plain[:4])) % 97 != 1:
             return None
         body = self.mixed(plain[4:], f"iban{plain[:2]}", back)
         check = 98 - int(numeric(body + plain[:2] + "00")) % 97
         new = iter(f"{plain[:2]}{check:02d}{body}")
-        return "".join(x if x == " " else next(new) for x in text)
+        made = "".join(x if x == " " else next(new) for x in text)
+        return made.lower() if text[:2].islower() else made
 
     def _ssn(self, text: str, back: bool) -> str | None:
         area, group, serial = map(int, text.split("-"))
@@ -166,10 +185,12 @@ class Pseudonyms:
         return f"{areas[area]:03d}-{group + 1:02d}-{serial + 1:04d}"
 
     def _phone(self, text: str, back: bool) -> str | None:
-        code = re.match(r"\+\d{1,3}(?=\D)", text)
-        kept = code.end() if code else 0
-        if not code and text.startswith("+"):
-            kept = 3
+        kept = 0
+        if text.startswith("+"):
+            code = re.sub(r"\D", "", text)[:3]
+            length = 1 if code[0] in "17" else 2 if code[:2] in _CODES else 3
+            places = [i for i, x in enumerate(text) if x.isdigit()]
+            kept = places[length - 1] + 1 if len(places) > length else 0
         digits = re.sub(r"\D", "", text[kept:])
         if not 7 <= len(digits) <= 14:
             return None
@@ -216,12 +237,7 @@ class Pseudonyms:
         sep = re.search(r"\D", text)[0]
         if numbers[0] > 999:
             return f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}"
-        # A numeric date in which the day comes first only because it is over 12 stays readable that way only if the
-        # new day is over 12 too; the walk goes on until it is, so that both notations keep apart.
         day_first = sep == "." or numbers[0] > 12
-        if sep == "/":
-            while (new.day > 12) != (old.day > 12):
-                new = self.day(new, back)
         wide = any(len(x) == 2 and x[0] == "0" for x in re.findall(r"\d+", text)[:2]) or all(len(x) == 2 for x in re.findall(r"\d+", text)[:2])
         first, second = (new.day, new.month) if day_first else (new.month, new.day)
         return f"{first:02d}{sep}{second:02d}{sep}{new.year:04d}" if wide else f"{first}{sep}{second}{sep}{new.year:04d}"
@@ -230,7 +246,13 @@ class Pseudonyms:
         local, _, domain = text.partition("@")
         return f"{self.mixed(local, 'email', back)}@{domain}" if any(x.isalnum() for x in local) else None
 
+    def _token(self, text: str, back: bool) -> str | None:
+        kept = _PREFIX.match(text).end()
+        return text[:kept] + self.mixed(text[kept:], "token", back)
+
     def _secret(self, text: str, back: bool) -> str | None:
+        if re.match(r"[a-f]{2}\d\d", text) and len(text) <= 34 and (iban := self._iban(text, back)):
+            return iban
         return self.digits(text, "secret", back, 16)
 
 
@@ -280,10 +302,24 @@ def replace(text: str, pseudonyms: Pseudonyms, back: bool = False) -> tuple[str,
     for start, end, kind in find(text, lambda k, v: pseudonyms.pseudonym(k, v, back) is not None):
         out += [text[done:start], pseudonyms.pseudonym(kind, text[start:end], back)]
         done = end
-        places.append((start, end, "date" if kind == "date_us" else kind))
+        places.append((start, end, _NAMED.get(kind, kind)))
     return ("".join(out) + text[done:] if places else text), places
 
 
+_own_key: list[bytes] = []
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key of this application: the setting spark.annogrid.pii.key, else ANNOGRID_PII_KEY of the driver, else a random
+    one, with which pseudonyms are linked within the application only and can't be inverted after it."""
+    named = spark.conf.get("spark.annogrid.pii.key", None) or os.environ.get("ANNOGRID_PII_KEY")
+    if named:
+        return named.encode()
+    if not _own_key:
+        _own_key.append(secrets.token_bytes(32))
+    return _own_key[0]
+
+
 def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns to keep (the id by default), the text with pseudonyms, n_values, and values: start, end, kind of each."""
     keep = [x for x in (keep or [id_col]) if x != text_col]

@@ -6,15 +6,18 @@ gets its exact score; once the k-th best score is at least what a vector not met
 dimensions of the query's component times the last value read), the block's answer is final. A query's answers of all
 blocks are merged by score and id.
 
+The bound is the algorithm's own and nothing else ends a search. Over many dimensions of spread-out vectors it stays above
+the k-th score until all vectors have been met (README has figures); over few it stops early.
+
 Defined results: components become floor(scale * x); a vector that is null, has a null or non-finite component or
-another length than the first dimension count given takes no part; rows with a null id take no part; rows with equal
-ids are all candidates, of which those with the query's id are its own; a query id that occurs more than once asks with
-its smallest vector; a query with fewer than k candidates gets all; an empty table gives an empty table; other columns
-are not read.
+another length than the first dimension count given takes no part; rows with a null id take no part; every query row
+asks for itself, also where rows share an id or are equal, and all rows but itself are its candidates; a query with
+fewer than k candidates gets all; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -24,8 +27,9 @@ from pyspark.sql import functions as F
 
 from annogrid.llm.common import prepare
 
-#: Vectors in one block of candidates, queries in one block, and entries of each list read at a time.
-BLOCK_ROWS, QUERY_ROWS, STRETCH = 4096, 4096, 32
+#: Vectors in one block of candidates at the least and at the most (so that there are BLOCKS of them), queries in one block,
+#: and entries of each list that are read first.
+BLOCK_ROWS, MOST_ROWS, BLOCKS, QUERY_ROWS, STRETCH = 4096, 16384, 64, 32768, 32
 
 
 class SortedLists:
@@ -47,7 +51,10 @@ class SortedLists:
         small = self.vectors.shape[1] * int(np.abs(query).max(initial=0)) ** 2 < 1 << 50
         table = self.scored if small else self.vectors
         asked = query.astype(table.dtype)
-        met = self.ids == query_id
+        met = np.zeros(n, bool)
+        low, high = np.searchsorted(self.ids, [query_id, query_id + 1])
+        own = np.flatnonzero((self.vectors[low:high] == query).all(axis=1))
+        met[low + own[:1]] = True  # the query's own row
         left = n - int(met.sum())
         total, found, scores = left, np.zeros(0, np.int64), np.zeros(0, np.int64)
         weights, falling = query[used], query[used] > 0
@@ -55,7 +62,7 @@ class SortedLists:
         while left:
             end = min(n, max(STRETCH, 2 * depth))
             fresh = ~met
-            if len(used) and len(used) * (end - depth) < 4 * n:
+            if len(used):  # without a weight all score 0
                 read = np.zeros(n, bool)
                 read[self.lists[n - end : n - depth, used[falling]]] = True
                 read[self.lists[depth:end, used[~falling]]] = True
@@ -95,32 +102,34 @@ def exact_top_k(
     rows = vectors.where(F.col(id_col).isNotNull() & F.coalesce(usable, F.lit(False)))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     counts = rows.agg(F.count("*"), F.count_if("asks")).first()
-    n_blocks, n_asking = (max(1, math.ceil(c / size)) for c, size in zip(counts, (BLOCK_ROWS, QUERY_ROWS), strict=True))
+    block_rows = min(max(BLOCK_ROWS, -(-counts[0] // BLOCKS)), max(MOST_ROWS, BLOCK_ROWS))
+    n_blocks, n_asking = (max(1, math.ceil(c / size)) for c, size in zip(counts, (block_rows, QUERY_ROWS), strict=True))
     cells = n_blocks * n_asking
     every = F.explode(F.sequence(F.lit(0), F.lit(n_asking - 1)))
     # Candidates go to their block's cell for each block of queries, queries to theirs for each block of candidates.
     candidates = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block"), every.alias("asking"))
     candidates = candidates.select("id", "v", (F.col("block") * n_asking + F.col("asking")).cast("int").alias("cell"))
-    asking = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
-    asking = asking.select("id", "v", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_asking)).alias("asking"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    asking = asking.select("id", "v", (F.col("block") * n_asking + F.col("asking")).cast("int").alias("cell"))
+    asking = rows.where("asks").groupBy("id", "v").agg(F.count(F.lit(1)).alias("rows"))  # equal rows get equal answers
+    asking = asking.select("id", "v", "rows", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_asking)).alias("asking"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    asking = asking.select("id", "v", "rows", (F.col("block") * n_asking + F.col("asking")).cast("int").alias("cell"))
 
     def matrix(table: pa.Table) -> np.ndarray:
         return table.column("v").combine_chunks().flatten().to_numpy().reshape(table.num_rows, dimensions)
 
     def answer(candidates: pa.Table, asking: pa.Table) -> pa.Table:
-        ids, others, scores = [], [], []
+        out: dict[str, list] = {k: [] for k in ("query_id", "query", "rows", "vec_id", "score")}
         if candidates.num_rows and asking.num_rows:
             lists = SortedLists(candidates.column("id").to_numpy(), matrix(candidates))
-            for i, q in zip(asking.column("id").to_pylist(), matrix(asking), strict=True):
+            for i, n, q in zip(asking.column("id").to_pylist(), asking.column("rows").to_pylist(), matrix(asking), strict=True):
                 found, own, _ = lists.top(i, q, k)
-                ids += [i] * len(found)
-                others += found.tolist()
-                scores += own.tolist()
-        return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(others, pa.int64()), "score": pa.array(scores, pa.int64())})
+                name = int.from_bytes(hashlib.blake2b(q.tobytes(), digest_size=8).digest(), "big", signed=True)
+                for column, values in zip(out, ([i] * len(found), [name] * len(found), [n] * len(found), found.tolist(), own.tolist()), strict=True):
+                    out[column] += values
+        return pa.table({name: pa.array(values, pa.int64()) for name, values in out.items()})
 
     spread = max(1, min(cells, 4096))
     left, right = (x.repartition(spread, "cell").groupBy("cell") for x in (candidates, asking))
-    found = left.cogroup(right).applyInArrow(answer, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = left.cogroup(right).applyInArrow(answer, "query_id long, query long, rows long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows")))).select("query_id", "rank", "vec_id", "score")

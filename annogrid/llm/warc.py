@@ -77,27 +77,34 @@ def write_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+#: Bytes of a file that are decompressed at a time.
+FEED = 1 << 16
+
+
 def _members(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """The parts of a file and their offsets: each gzip member, or all of it."""
+    """The parts of a file and their offsets: each gzip member, or all of it. Every byte is looked at a bounded number of times."""
     at = 0
     if data[:2] != b"\x1f\x8b":
         yield 0, data
         return
+    view = memoryview(data)
     while at < len(data):
         if data[at : at + 2] != b"\x1f\x8b":
             at = data.find(b"\x1f\x8b", at)
             if at < 0:
                 return
-        stream = zlib.decompressobj(31)
+        stream, parts, end = zlib.decompressobj(31), [], at
         try:
-            part = stream.decompress(data[at:])
+            while end < len(data) and not stream.eof:
+                parts.append(stream.decompress(view[end : end + FEED]))
+                end = min(len(data), end + FEED)
         except zlib.error:
             at += 2
             continue
-        yield at, part
-        at = len(data) - len(stream.unused_data)
+        yield at, b"".join(parts)
         if not stream.eof:
             return
+        at = end - len(stream.unused_data)
 
 
 def read_records(data: bytes) -> Iterator[tuple[int, list[tuple[str, str]], bytes]]:
@@ -230,7 +237,8 @@ def derivatives(records: DataFrame, id_col: str = "page_id", record_col: str = "
     id_type = dict(records.dtypes)[id_col]
     names = {
         "warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date",
-        "concurrent_to": "WARC-Concurrent-To", "source_payload_digest": "WARC-Source-Payload-Digest", "block_digest": "WARC-Block-Digest", "content_type": "Content-Type",
+        "concurrent_to": "WARC-Concurrent-To", "source_payload_digest": "WARC-Source-Payload-Digest",
+        "source_block_digest": "WARC-Source-Block-Digest", "refers_to_target_uri": "WARC-Refers-To-Target-URI", "refers_to_date": "WARC-Refers-To-Date", "block_digest": "WARC-Block-Digest", "content_type": "Content-Type",
     }
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -66,7 +66,7 @@ def test_each_stage(spark, folder):
     texts = {r["doc_id"]: r["text"] for r in before}
     changed = 0
     for r in after:
-        assert r["text"] == (pii.replace(texts[r["doc_id"]], pii.Pseudonyms(corpus_pipeline.PII_KEY))[0] if texts[r["doc_id"]] else texts[r["doc_id"]])
+        assert r["text"] == (pii.replace(texts[r["doc_id"]], pii.Pseudonyms(pii.key_of(spark)))[0] if texts[r["doc_id"]] else texts[r["doc_id"]])
         assert "743) 555" not in (r["text"] or "") and "jo.do@" not in (r["text"] or "")
         changed += r["text"] != texts[r["doc_id"]]
     assert changed > 5 and len(after) == len(before)

@@ -61,3 +61,62 @@ def test_odd_records():
     assert [at for at, _, _ in warc.read_records(members)] == [0, len(gzip.compress(record))]
     folded = warc.parse_headers(b"WARC/1.1\r\nA: b\r\n c\r\nbad\r\n\r\n")
     assert folded == [("A", "b c")]
+
+
+def test_large_archives_take_linear_time():
+    import random
+    import time
+
+    rng = random.Random(1)
+    member = gzip.compress(warc.write_record([("WARC-Type", "response")], rng.randbytes(3000)))
+
+    def seconds(n):
+        data, began = member * n, time.perf_counter()
+        assert sum(1 for _ in warc.read_records(data)) == n
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(8000) < 16 * max(seconds(1000), 0.02)
+    big = warc.write_record([("WARC-Type", "response")], rng.randbytes(300_000))
+    assert [len(b) for *_, b in warc.read_records(gzip.compress(big) + member)] == [300_000, 3000]
+
+
+def test_brute_force_over_a_table(spark):
+    """Every derivative of the query's rows again from the pages alone, by the standard library's parser."""
+    import hashlib
+    import html.parser
+
+    class Reader(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.links, self.words, self.depth = [], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag in ("title", "script", "style")
+            self.links += [dict(attrs).get("href")] * (tag == "a")
+
+        def handle_endtag(self, tag):
+            self.depth -= tag in ("title", "script", "style")
+
+        def handle_data(self, data):
+            self.words += [] if self.depth else data.split()
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    found = {(r.page_id, r.warc_type): r for r in warc.derivatives(warc.pages_to_responses(pages)).collect()}
+    rows = pages.collect()
+    assert len(found) == 2 * len(rows)
+    for page in rows:
+        reader = Reader()
+        reader.feed(page.html)
+        reader.close()
+        info, text = (found[page.page_id, k] for k in ("metadata", "conversion"))
+        lines = bytes(info.block).decode().split("\r\n")
+        assert [x[9:] for x in lines if x.startswith("outlink: ")] == [" ".join(x.split()) for x in reader.links]
+        assert bytes(text.block).decode().split() == reader.words
+        payload = page.html.encode()
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+        named = lambda data: "sha1:" + __import__("base64").b32encode(hashlib.sha1(data).digest()).decode()
+        for r in (info, text):
+            assert (r.source_payload_digest, r.source_block_digest, r.block_digest) == (named(payload), named(block), named(bytes(r.block)))
+            assert r.refers_to_target_uri == r.target_uri == page.url and r.refers_to_date == r.warc_date and r.content_length == len(r.block)
+        assert info.refers_to == text.refers_to and info.concurrent_to == text.record_id and text.concurrent_to == info.record_id
