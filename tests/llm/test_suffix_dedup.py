@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from annogrid.llm import suffix_dedup
 
@@ -11,6 +12,13 @@ def rows(frame):
     return sorted((tuple(r[x] for x in NAMES) for r in frame.collect()), key=str)
 
 
+def placed(spark, frame):
+    """(id, text, place): the part that a row is dealt to puts rows of the same id in order."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = suffix_dedup.part_of_row(F.col("doc_id"), F.col("text").cast("binary"), parts)
+    return [(r.doc_id, r.text, r.place) for r in frame.select("doc_id", "text", place.alias("place")).collect()]
+
+
 def made(seed, n=60):
     rng = random.Random(seed)
     passages = ["".join(rng.choice("abé d") for _ in range(rng.randint(5, 60))) for _ in range(6)]
@@ -31,7 +39,35 @@ def test_same_as_brute_force(spark, monkeypatch, depth):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 256)
     docs = made(depth)
     frame = spark.createDataFrame([(*d, "c") for d in docs], "doc_id long, text string, part string")
-    assert rows(suffix_dedup.repeats(frame, depth)) == sorted(suffix_dedup.brute_force(docs, depth), key=str)
+    assert rows(suffix_dedup.repeats(frame, depth)) == sorted(suffix_dedup.brute_force(placed(spark, frame), depth), key=str)
+
+
+def test_rows_of_one_id_are_spread(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(8)]
+    docs = [(rng.choice([None, 5]), "".join(rng.choice(words) for _ in range(6))) for _ in range(80)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = placed(spark, frame)
+    assert len({place for *_, place in found}) > 1
+    assert rows(suffix_dedup.repeats(frame, 30)) == sorted(suffix_dedup.brute_force(found, 30), key=str)
+
+
+def test_a_line_of_all_documents_is_not_one_bucket(spark):
+    """Each part tells a bucket of a line's grams once, in however many surroundings the line stands."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    line = "this line of seventy-eight letters stands in every single one of the documents"
+    texts = ["".join(rng.choice("abcdefghijklm ") for _ in range(150)) + line + "".join(rng.choice("nopqrstuv ") for _ in range(150)) for _ in range(300)]
+    part = suffix_dedup.Part(pa.table({"id": pa.array(range(300), pa.int64()), "text": pa.array([t.encode() for t in texts])}), 100)
+    runs = part.runs()
+    first = suffix_dedup._first_runs(runs)
+    gram, whole = suffix_dedup._grams(runs, first)
+    hot = max(set(gram.tolist()), key=lambda g: int((runs["gram"][first] == g).sum()))
+    assert int((runs["gram"][first] == hot).sum()) >= 250 and int((gram == hot).sum()) == 1 and whole[gram == hot] == 0
+    docs = list(enumerate(texts))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(suffix_dedup.repeats(frame, 70)) == sorted(suffix_dedup.brute_force(docs, 70), key=str)
 
 
 def test_spans_and_kept_bytes(spark):
