@@ -6,8 +6,6 @@ Parquet and read again as the next one's docs. All but the last return the colum
 
 from __future__ import annotations
 
-import os
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +16,6 @@ from annogrid.llm.common import read_table, stage
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents that score less are rejected.
 LEAST_QUALITY = 0.5
-#: The pseudonyms' key; set ANNOGRID_PII_KEY for a secret of your own.
-PII_KEY = os.environ.get("ANNOGRID_PII_KEY", "a key for test data only").encode()
-
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject the documents that the quality classifier scores below LEAST_QUALITY."""
@@ -43,7 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal numbers, dates and addresses by pseudonyms of the same format."""
-    done = pii.pseudonymise(docs, PII_KEY, keep=[c for c in COLUMNS if c != "n_chars"])
+    done = pii.pseudonymise(docs, pii.key_of(spark), keep=[c for c in COLUMNS if c != "n_chars"])
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
