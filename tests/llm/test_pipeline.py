@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import public_tokenizers
 import pytest
@@ -53,6 +54,7 @@ def test_each_stage(spark, folder):
     (_, before, after), near, clean, private, encoded = kept
     ids = lambda rows: sorted((r["doc_id"] for r in rows), key=str)
     junk = {i for i in range(260) if i % 5 == 4}
+    assert {None, 1000} <= {r["doc_id"] for r in after if r["text"] is None or r["doc_id"] is None}
     assert len(set(ids(after)) & junk) <= 2 and len({i for i in range(260)} - junk - set(ids(after))) <= 2
     _, before, after = near
     rows = [(r["doc_id"], r["text"]) for r in before if r["doc_id"] is not None]
@@ -67,6 +69,8 @@ def test_each_stage(spark, folder):
     changed = 0
     for r in after:
         assert r["text"] == (pii.replace(texts[r["doc_id"]], pii.Pseudonyms(pii.key_of(spark)))[0] if texts[r["doc_id"]] else texts[r["doc_id"]])
+        if texts[r["doc_id"]] and "+1 (743) 555-3824" in texts[r["doc_id"]]:
+            assert re.fullmatch(re.escape(texts[r["doc_id"]]).replace(re.escape("jo.do@"), r"[a-z]{2}\.[a-z]{2}@").replace(re.escape("+1 (743) 555-3824"), r"\+1\ \(\d{3}\)\ \d{3}\-\d{4}"), r["text"])
         assert "743) 555" not in (r["text"] or "") and "jo.do@" not in (r["text"] or "")
         changed += r["text"] != texts[r["doc_id"]]
     assert changed > 5 and len(after) == len(before)
@@ -82,3 +86,11 @@ def test_each_stage(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 100
+
+
+def test_empty_tables(spark, folder, tmp_path):
+    path, items = folder
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "ids_sha256" in out.columns
