@@ -14,13 +14,13 @@ from annogrid.llm import bpe, decontam, minhash, pii, quality
 from annogrid.llm.common import read_table, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents that score less are rejected.
-LEAST_QUALITY = 0.5
+#: Documents that score less are rejected; the threshold of the classifier's own query.
+LEAST_QUALITY = 0.7
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject the documents that the quality classifier scores below LEAST_QUALITY."""
+    """Reject the documents that the quality classifier scores below LEAST_QUALITY; without a text there is nothing to reject."""
     net = quality.learn(docs, read_table(spark, sf_dir, "labels"), F.lit(True))
-    return quality.score(docs, net, keep=COLUMNS, threshold=LEAST_QUALITY).where(F.col("predicted") == 1).select(*COLUMNS)
+    return quality.score(docs, net, keep=COLUMNS, threshold=LEAST_QUALITY).where((F.col("predicted") == 1) | F.col("text").isNull()).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
