@@ -18,11 +18,14 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annogrid.llm.common import map_batches, texts_of
@@ -103,17 +106,18 @@ def _automaton(key: str, items: list, window: int) -> WindowAutomaton:
     return _automata[key]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text_col: str) -> list[list[tuple[object, bytes]]]:
-    """The items in blocks of bounded size; the driver holds one row of the iterator and the block it fills."""
-    blocks, size = [[]], 0
+def _blocks(benchmark: DataFrame, item_id: str, text_col: str) -> Iterator[list[tuple[object, bytes]]]:
+    """The items in blocks of bounded size, the last of which may be empty; the driver holds one partition of the items and
+    the block it fills."""
+    block, size = [], 0
     for row in benchmark.select(item_id, text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
         text = row[1].encode()
-        if size + len(text) > MAX_BLOCK_BYTES and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row[0], text))
+        if size + len(text) > MAX_BLOCK_BYTES and block:
+            yield block
+            block, size = [], 0
+        block.append((row[0], text))
         size += len(text)
-    return blocks
+    yield block
 
 
 _SPANS = "array<struct<first:long,end:long,first_byte:long,end_byte:long>>"
@@ -159,20 +163,20 @@ def find_spans(
     keep = keep or [id_col]
     blocks = _blocks(benchmark, item_id, item_text)
     text = F.col(text_col).alias("_text")
-    if len(blocks) == 1:
-        return _scan_block(docs.select(*keep, text), blocks[0], window)
-    # A row's results of all blocks meet by what is kept, the text's digest and a number among equal rows.
-    key = [*keep, "_digest", "_copy"]
-    rows = docs.select(*keep, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_digest"), text)
-    whole = None
-    for items in blocks:
-        part = _scan_block(rows, items, window)
-        part = part.withColumn("_copy", F.row_number().over(Window.partitionBy(*keep, "_digest").orderBy("n_words")))
-        whole = part if whole is None else whole.unionByName(part)
-    met = whole.groupBy(*key).agg(
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _scan_block(docs.select(*keep, text), first, window)
+    # Equal rows have equal results: a row is known by the digest of its columns, which alone goes through the blocks.
+    row = F.sha2(F.to_json(F.struct(*(F.col(c) for c in dict.fromkeys([*keep, text_col])))), 256).alias("_row")
+    parts = []
+    for items in chain([first, second], blocks):
+        found = _scan_block(docs.select(row, text), items, window)
+        parts.append(found.groupBy("_row").agg(*(F.any_value(c).alias(c) for c in ("n_words", "spans", "items"))))
+    whole = reduce(DataFrame.unionByName, parts)
+    met = whole.groupBy("_row").agg(
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
     )
-    return met.select(*keep, "n_words", unite_column("spans").alias("spans"), F.array_sort("items").alias("items"))
+    return docs.select(*keep, row).join(met, "_row").select(*keep, "n_words", unite_column("spans").alias("spans"), F.array_sort("items").alias("items"))
 
 
 def unite_column(spans: str):
