@@ -13,10 +13,10 @@ Digits are fingerprints, so that a pass can deal suffixes out by hash instead of
    agree in it agree in every suffix: all but the first are repeats.
 3. Suffixes in runs that share digit 1 but differ in digit 2 are sorted one by one by the hash of their whole window.
 
-A digit is not dealt out with what it is compared in: runs go by digits 1 and 2 together, and beside them each part says
-for every first digit whether it has one second digit or several. Either way a part sends each distinct entry once, so
-that a bucket gets at most one entry from each part for any string or gram, however often it occurs and in whatever
-surroundings (a line that all documents share has one gram and a second digit in each document).
+A run is dealt out by its first digit where its part has one second digit for it. Where the part has several, the first
+digit is known to need pass 3: the part says so in one entry, and its runs are dealt out by both digits. So a bucket gets at
+most one entry from each part for any string or gram, however often it occurs and in whatever surroundings (a line that all
+documents share has one gram and a second digit in each document).
 
 Equality rests on both digits, 64 bits of the whole view (or window) and about 58 of the gram: among n entries the chance
 that any two different ones agree is below n * n / 2 ** 122, 2e-12 for the 3e12 runs of 100 TB. Bytes aren't compared again.
@@ -236,26 +236,21 @@ def _known(part: Part, answers: pa.Table) -> tuple[dict[str, np.ndarray], np.nda
     runs = part.runs()
     state = np.ones(len(runs["start"]), np.int64)
     first = _first_runs(runs)
-    state[first] = 0
-    grams, wholes = _grams(runs, first)
-    mixed = [grams[wholes == 0]]
+    state[first] = np.where(_alone(runs["gram"][first]), 0, 2)
     for kind, blob in zip(answers.column("kind").to_pylist(), answers.column("blob").to_pylist(), strict=True):
         if kind == 1:
-            state[_unpack(blob, "i")[0]] = 1
-        elif kind == 3:
-            mixed.append(_unpack(blob, "u")[0])
-    state[(state == 0) & np.isin(runs["gram"], np.concatenate(mixed))] = 2
+            index, code = _unpack(blob, "ii")
+            state[index] = code
     return runs, state
 
 
-def _grams(runs: dict[str, np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each first digit of the part, and its second digit, 0 where it has several."""
-    gram, whole = runs["gram"][first], runs["whole"][first]
-    order = np.argsort(gram, kind="stable")
-    gram, whole = gram[order], whole[order]
-    new = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
-    several = np.diff(np.append(new, len(gram))) > 1
-    return gram[new], np.where(several, np.uint64(0), whole[new])
+def _alone(keys: np.ndarray) -> np.ndarray:
+    """Whether each key occurs once."""
+    order, new = _first_of_group(keys)
+    edge = np.append(new, True)
+    out = np.empty(len(keys), bool)
+    out[order] = edge[:-1] & edge[1:]
+    return out
 
 
 def _spread(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,40 +296,34 @@ def repeats(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", text_col:
         number, part = part_of(table)
         runs = part.runs()
         pick = _first_runs(runs)
-        gram, whole = runs["gram"][pick], runs["whole"][pick]
-        rows = _by_bucket(number, buckets, _mixed(gram ^ whole), gram, whole, part.owner(runs["start"][pick]), pick)
-        rows += [(buckets + b, *rest) for b, *rest in _by_bucket(number, buckets, *_grams(runs, pick)[:1], *_grams(runs, pick))]
+        gram, whole, owner = runs["gram"][pick], runs["whole"][pick], part.owner(runs["start"][pick])
+        one = _alone(gram)
+        several = np.unique(gram[~one])
+        zeros = np.zeros(len(several), np.int64)
+        by_gram = [np.concatenate(x) for x in ((gram[one], several), (whole[one], zeros.view(np.uint64)), (owner[one], zeros), (pick[one], zeros))]
+        rows = _by_bucket(number, buckets, by_gram[0], *by_gram)
+        gram, whole, owner, pick = (x[~one] for x in (gram, whole, owner, pick))
+        rows += [(buckets + b, *rest) for b, *rest in _by_bucket(number, buckets, _mixed(gram ^ whole), gram, whole, owner, pick)]
         return _table(rows, ["bucket", "part", "blob"])
 
     def sort_runs(table: pa.Table) -> pa.Table:
-        return sort_whole_runs(table) if table.column("bucket")[0].as_py() < buckets else sort_grams(table)
-
-    def sort_whole_runs(table: pa.Table) -> pa.Table:
-        """Runs that agree in both digits with an earlier one."""
+        """Entries of several parts with one gram: later copies of a run are repeats, and what is left is sorted further if a
+        gram has several second digits (0 stands for a part that has several itself)."""
         (gram, whole, owner, index), part = _gathered(table, "uuii")
-        order = np.argsort(whole, kind="stable")
-        w = whole[order]
-        same = np.zeros(len(w) + 1, bool)
-        same[1:-1] = w[1:] == w[:-1]
-        pick = order[same[1:] | same[:-1]]
-        gram, whole, owner, index, part = (x[pick] for x in (gram, whole, owner, index, part))
-        order = np.lexsort((index, part, owner, whole, gram))
+        by_gram = table.column("bucket")[0].as_py() < buckets
+        pick = np.flatnonzero(~_alone(gram))
+        order = pick[np.lexsort(tuple(x[pick] for x in (index, part, owner, whole, gram)))]
         gram, whole, index, part = (x[order] for x in (gram, whole, index, part))
-        again = np.zeros(len(gram), bool)
-        again[1:] = (gram[1:] == gram[:-1]) & (whole[1:] == whole[:-1])
-        return _table(_answers(1, part[again], index[again]), ["part", "kind", "blob"])
-
-    def sort_grams(table: pa.Table) -> pa.Table:
-        """First digits that have several second digits, for the parts that don't know it yet."""
-        (gram, whole), part = _gathered(table, "uu")
-        order = np.lexsort((whole, gram))
-        gram, whole, part = gram[order], whole[order], part[order]
-        new = np.concatenate([[True], gram[1:] != gram[:-1]])
-        last = np.append(np.flatnonzero(new)[1:], len(gram)) - 1
-        group = np.cumsum(new) - 1
-        several = (whole[new] != whole[last]) | (whole[new] == 0)
-        told = several[group] & (whole != 0)
-        return _table(_answers(3, part[told], gram[told]), ["part", "kind", "blob"])
+        code = np.ones(len(gram), np.int64)
+        if len(gram):
+            new = np.concatenate([[True], gram[1:] != gram[:-1]])
+            head = new.copy()
+            head[1:] |= whole[1:] != whole[:-1]
+            group = np.cumsum(new) - 1
+            several = (np.bincount(group[head]) > 1) | (whole[new] == 0)
+            code[head] = np.where(several[group[head]] & by_gram, 2, 0)
+        told = (code > 0) & (whole != 0)
+        return _table(_answers(1, part[told], index[told], code[told]), ["part", "kind", "blob"])
 
     def send_suffixes(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["bucket", "part", "blob"]
