@@ -112,6 +112,18 @@ def corrected(df: DataFrame, settings: ChromaSettings = ChromaSettings()) -> Dat
     return t.select("image_id", "row", "col", *((F.col(c) * F.col("_scale")).alias(c) for c in ("c0", "c1", "c2")))
 
 
+#: fixed values: names of guides and modes
+GUIDES = {"green": 0, "red": 1, "blue": 2}
+MODES = ("standard", "brighten", "darken")
+
+
+def correct_chromatic_aberration(df: DataFrame, guide: str = "green", mode: str = "standard", **settings) -> DataFrame:
+    """Corrected channels by names of the guide and mode, in any case; an unknown name counts as the default, as does a setting of None."""
+    given = {k: v for k, v in settings.items() if v is not None}
+    name = mode.lower()
+    return corrected(df, ChromaSettings(guide=GUIDES.get(guide.lower(), 0), mode=name if name in MODES else "standard", **given))
+
+
 def staged(df: DataFrame, stages: list[tuple[int, ChromaSettings]]) -> DataFrame:
     """Several corrections in the order of their priority, then of their place in the list."""
     for _, _, settings in sorted(((p, k, s) for k, (p, s) in enumerate(stages)), key=lambda x: x[:2]):

@@ -122,26 +122,85 @@ def anchors(boxes: DataFrame, limit: int = 6, rtol: float = 0.1, atol: float = 1
     return listed.select(F.posexplode(kept).alias("rank", "b")).select((F.col("rank") + 1).alias("rank"), F.round("b.w", 6).alias("w"), F.round("b.h", 6).alias("h"))
 
 
+def _squares(x, y):
+    """Squared distances of all rows of x to all rows of y, each by its own differences."""
+    import numpy as np
+
+    out = np.zeros((len(x), len(y)))
+    for k in range(x.shape[1]):
+        d = x[:, k, None] - y[None, :, k]
+        out += d * d
+    return out
+
+
+def _plain(points: DataFrame) -> DataFrame:
+    return points.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+
+
 def mutual_nearest(left: DataFrame, right: DataFrame, blocks: int | None = None, digits: int = 6) -> DataFrame:
-    """Pairs (of tables id, v) that are each other's nearest, ties to the smaller id; blocks of one side against the other's."""
-    blocks = _blocks(right, blocks)
-    l_ = left.select(F.col("id").alias("left_id"), F.col("v").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    r = right.select(F.col("id").alias("right_id"), F.col("v").alias("b"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    d = l_.join(r, "block").select("left_id", "right_id", _square(F.col("a"), F.col("b")).alias("d"))
-    # Both minima come from partial aggregates; distances are not kept.
-    best_right = d.groupBy("left_id").agg(F.min(F.struct("d", "right_id")).alias("m")).select("left_id", "m.right_id", "m.d")
-    best_left = d.groupBy("right_id").agg(F.min(F.struct("d", "left_id")).alias("m")).select("right_id", "m.left_id")
+    """Pairs (of tables id, v) that are each other's nearest, ties to the smaller id.
+
+    Blocks of one side meet blocks of the other as arrays; a pair of blocks gives each point's nearest there and no pairs.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    a, b = _block_pairs(_plain(left), _plain(right), _blocks(right, blocks))
+
+    def nearest(s: pa.Table, t: pa.Table) -> pa.Table:
+        out = {k: [] for k in ("side", "own", "other", "d")}
+        if s.num_rows and t.num_rows:
+            s, t = s.sort_by("id"), t.sort_by("id")
+            x, y = (np.array(z.column("v").to_pylist()) for z in (s, t))
+            i, j = (z.column("id").to_numpy() for z in (s, t))
+            best, far = np.zeros(len(y), np.int64), np.full(len(y), np.inf)
+            for k in range(0, len(x), 256):
+                d = _squares(x[k : k + 256], y)
+                at = d.argmin(axis=1)
+                for name, values in (("side", np.zeros(len(at), np.int32)), ("own", i[k : k + 256]), ("other", j[at]), ("d", d[np.arange(len(at)), at])):
+                    out[name].append(values)
+                here = d.argmin(axis=0)
+                value = d[here, np.arange(len(y))]
+                nearer = value < far  # of equal ones the first, with the smaller id
+                best[nearer], far[nearer] = here[nearer] + k, value[nearer]
+            for name, values in (("side", np.ones(len(y), np.int32)), ("own", j), ("other", i[best]), ("d", far)):
+                out[name].append(values)
+        kinds = {"side": np.int32, "own": np.int64, "other": np.int64, "d": np.float64}
+        return pa.table({k: pa.array(np.concatenate(v) if v else np.zeros(0, kinds[k])) for k, v in out.items()})
+
+    found = a.cogroup(b).applyInArrow(nearest, "side int, own long, other long, d double").groupBy("side", "own").agg(F.min(F.struct("d", "other")).alias("m"))
+    best_right = found.where("side = 0").select(F.col("own").alias("left_id"), F.col("m.other").alias("right_id"), "m.d")
+    best_left = found.where("side = 1").select(F.col("own").alias("right_id"), F.col("m.other").alias("left_id"))
     return best_right.join(best_left, ["left_id", "right_id"]).select("left_id", "right_id", F.round(F.sqrt("d"), digits).alias("distance"))
 
 
+def _near(points: DataFrame, eps: float, blocks: int | None) -> DataFrame:
+    """Ordered pairs (a, b) of points at most eps apart, each point with itself; blocks meet as arrays and give such pairs only."""
+    import numpy as np
+    import pyarrow as pa
+
+    p = _plain(points)
+    left, right = _block_pairs(p, p, _blocks(points, blocks))
+
+    def pairs(s: pa.Table, t: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if s.num_rows and t.num_rows:
+            x, y = (np.array(z.column("v").to_pylist()) for z in (s, t))
+            i, j = (z.column("id").to_numpy() for z in (s, t))
+            for k in range(0, len(x), 256):
+                at = np.nonzero(_squares(x[k : k + 256], y) <= eps * eps)
+                a.append(i[k + at[0]])
+                b.append(j[at[1]])
+        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+    return left.cogroup(right).applyInArrow(pairs, "a long, b long")
+
+
 def dbscan(points: DataFrame, eps: float, min_points: int = 5, blocks: int | None = None) -> DataFrame:
     """(id, label): -1 for noise, else the smallest core id of the cluster; border points go to the smallest cluster nearby."""
-    from annogrid.operators.graph import connected_components
+    from annogrid.operators.graph import checkpointed, connected_components
 
-    blocks = _blocks(points, blocks)
-    a = points.select(F.col("id").alias("a"), F.col("v").alias("va"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    b = points.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    near = a.join(b, "block").where(_square(F.col("va"), F.col("vb")) <= eps * eps).select("a", "b")
+    near = checkpointed(_near(points, eps, blocks))  # read four times below
     core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select(F.col("a").alias("core"))
     between = near.join(core.toDF("a"), "a", "left_semi").join(core.toDF("b"), "b", "left_semi").select("a", "b")
     comps = connected_components(between)
@@ -156,16 +215,25 @@ def _vectors(points: DataFrame, out: str = "features") -> DataFrame:
     return points.withColumn(out, array_to_vector("v"))
 
 
-def kmeans_labels(points: DataFrame, k: int, starts: int = 10, seed: int = 42) -> DataFrame:
-    """The labels of the start with the lowest cost."""
+def kmeans_model(points: DataFrame, k: int, starts: int = 10, seed: int = 42):
+    """The model of the start with the lowest cost, on vectors in the column `features`; model.write().save(path) keeps it."""
     from pyspark.ml.clustering import KMeans
 
-    data = _vectors(points)
-    kept = data.select("features").persist()
+    kept = _vectors(points).select("features").persist()
     models = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(kept) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     kept.unpersist()
-    return best.transform(data).select("id", F.col("prediction").alias("label"))
+    return best
+
+
+def labelled_by(model, points: DataFrame) -> DataFrame:
+    """(id, label) of points under a model, also one that was loaded."""
+    return model.transform(_vectors(points)).select("id", F.col("prediction").alias("label"))
+
+
+def kmeans_labels(points: DataFrame, k: int, starts: int = 10, seed: int = 42) -> DataFrame:
+    """The labels of the start with the lowest cost."""
+    return labelled_by(kmeans_model(points, k, starts, seed), points)
 
 
 def gmm_labels(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
@@ -218,33 +286,68 @@ def binned_mutual_information(points: DataFrame, bins: int = 10, digits: int = 6
     return parts.groupBy("feature").agg(F.round(F.sum("i"), digits).alias("value"))
 
 
-def ward_labels(points: DataFrame, k: int, most: int = 4000) -> DataFrame:
-    """Agglomerative clusters by Ward's criterion for at most `most` points, in one task; more raise an error."""
+#: Points that Ward linkage takes: memory is that of the points, time grows with the square of their number.
+WARD_POINTS = 60_000
+
+
+def ward_labels(points: DataFrame, k: int, most: int = WARD_POINTS) -> DataFrame:
+    """Agglomerative clusters by Ward's criterion, in one task; more than `most` points raise an error.
+
+    Chains of nearest neighbours give the merges: clusters that are each other's nearest can be merged at once, as no later
+    merge comes between them. A cluster is its size and mean, so that no matrix of distances is kept. The merges of least
+    distance, all but the last k - 1, make the clusters; labels count them by their smallest id.
+    """
     import numpy as np
     import pyarrow as pa
 
     if points.limit(most + 1).count() > most:
         raise ValueError(f"Ward linkage takes at most {most} points; use kmeans_labels or dbscan for more")
 
+    def merges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of points whose clusters are merged, and at what distance."""
+        n = len(x)
+        mean, size, live = x.copy(), np.ones(n), np.ones(n, bool)
+        chain, pairs, heights = [], np.zeros((max(0, n - 1), 2), np.int64), np.zeros(max(0, n - 1))
+        for step in range(n - 1):
+            if not chain:
+                chain.append(int(np.argmax(live)))
+            while True:
+                i = chain[-1]
+                d = ((mean - mean[i]) ** 2).sum(axis=1) * (size * size[i] / (size + size[i]))
+                d[~live] = np.inf
+                d[i] = np.inf
+                j = int(d.argmin())
+                if len(chain) > 1 and d[chain[-2]] <= d[j]:
+                    j = chain[-2]
+                    break
+                chain.append(j)
+            chain = chain[:-2]
+            low, high = min(i, j), max(i, j)
+            pairs[step], heights[step] = (low, high), d[j]
+            mean[low] = (mean[low] * size[low] + mean[high] * size[high]) / (size[low] + size[high])
+            size[low] += size[high]
+            live[high] = False
+        return pairs, heights
+
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("id").to_numpy(), kind="stable")
-        ids, x = table.column("id").to_numpy()[order], np.array(table.column("v").to_pylist())[order]
-        n, size, label = len(x), np.ones(len(x)), np.arange(len(x))
-        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
-        np.fill_diagonal(d, np.inf)
-        for _ in range(n - min(k, n)):
-            i, j = sorted(divmod(int(d.argmin()), n))
-            total = size[i] + size[j] + size
-            new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / total
-            live = np.isfinite(d[i]) & np.isfinite(d[j])
-            d[i], d[:, i] = np.where(live, new, np.inf), np.where(live, new, np.inf)
-            d[i, i] = np.inf
-            d[j], d[:, j] = np.inf, np.inf
-            size[i] += size[j]
-            label[label == label[j]] = label[i]
-        return pa.table({"id": pa.array(ids, pa.int64()), "label": pa.array(np.unique(label, return_inverse=True)[1], pa.int32())})
-
-    one = points.select("id", "v").withColumn("_g", F.lit(0))
+        ids, x = table.column("id").to_numpy()[order], np.array(table.column("v").to_pylist(), float)[order]
+        pairs, heights = merges(x)
+        root = np.arange(len(x))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for step in np.argsort(heights, kind="stable")[: max(0, len(x) - k)].tolist():
+            a, b = sorted(top(int(i)) for i in pairs[step])
+            root[b] = a
+        label = np.array([top(i) for i in range(len(x))], np.int64)
+        return pa.table({"id": pa.array(ids, pa.int64()), "label": pa.array(np.unique(label, return_inverse=True)[1].astype(np.int32))})
+
+    one = points.select(F.col("id").cast("long").alias("id"), "v").withColumn("_g", F.lit(0))
     return one.groupBy("_g").applyInArrow(lambda t: run(t.select(["id", "v"])), "id long, label int")
 
 
@@ -258,7 +361,7 @@ def scores(points: DataFrame) -> DataFrame:
 EPS = tuple(0.1 + 1.9 * i / 9 for i in range(10))
 
 
-def search(points: DataFrame, ks: range = range(2, 9), eps: tuple[float, ...] = EPS, seed: int = 42, most: int = 4000) -> DataFrame:
+def search(points: DataFrame, ks: range = range(2, 9), eps: tuple[float, ...] = EPS, seed: int = 42, most: int = WARD_POINTS) -> DataFrame:
     """(name, k, silhouette, calinski_harabasz, davies_bouldin, best) of every model; DBSCAN results with noise are left out.
 
     The best is the first by falling silhouette, in the order in which the models were tried. Above `most` points Ward

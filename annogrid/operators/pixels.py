@@ -136,3 +136,21 @@ def percentile_normalised(pixels: DataFrame, low: float = 0.01, high: float = 0.
     v = 255.0 * (gray() - F.col("q")[0]) / (F.col("q")[1] - F.col("q")[0] + 1e-20)
     v = F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)) if clip else v
     return pixels.join(q, "image_id").select("image_id", "row", "col", F.round(v, digits).alias("value"))
+
+
+def image_problems(images: DataFrame, colour: bool = False) -> DataFrame:
+    """(image_id, problem) of images (image_id, height, width, channels) that aren't gray or colour images with pixels.
+
+    colour: three channels are asked for, as the correction of colour fringes needs them.
+    """
+    shape = F.when(~F.coalesce((F.col("height") > 0) & (F.col("width") > 0), F.lit(False)), "no pixels")
+    allowed = [3] if colour else [1, 3, 4]
+    problem = shape.when(~F.coalesce(F.col("channels").isin(allowed), F.lit(False)), "not HxWx3" if colour else "not 2D or 3D")
+    return images.select("image_id", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
+def cropped(pixels: DataFrame, top: int, left: int, height: int, width: int) -> DataFrame:
+    """The pixels of a window, their places counted from its corner."""
+    r, c = F.col("row"), F.col("col")
+    inside = pixels.where((r >= top) & (r < top + height) & (c >= left) & (c < left + width))
+    return inside.withColumns({"row": r - top, "col": c - left})

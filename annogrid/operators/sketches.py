@@ -70,3 +70,29 @@ def might_contain(state: DataFrame, probes: DataFrame, column: str, m: int, k: i
     asked = positions(probes, column, m, k)
     hit = asked.join(state.select("position").distinct().withColumn("set", F.lit(1)), "position", "left")
     return hit.groupBy("item").agg((F.count_if(F.col("set").isNull()) == 0).alias("might_exist"))
+
+
+def exported(items: DataFrame, column: str, capacity: int, fp_rate: float = 0.001) -> DataFrame:
+    """A filter's whole state: one row with capacity, fp_rate, m, k and n_items, joined to its set positions, a row for each."""
+    m, k = size_for(capacity, fp_rate)
+    n = items.agg(F.count(F.lit(1)).alias("n_items"))
+    state = F.broadcast(n).select(F.lit(capacity).cast("long").alias("capacity"), F.lit(fp_rate).alias("fp_rate"), F.lit(m).cast("long").alias("m"), F.lit(k).alias("k"), "n_items")
+    return positions(items, column, m, k).select("position").distinct().crossJoin(F.broadcast(state))
+
+
+def imported(state: DataFrame) -> tuple[DataFrame, int, int]:
+    """Positions, m and k of an exported state (also one that was written and read); raises if rows of two filters are mixed."""
+    kinds = state.select("capacity", "fp_rate", "m", "k").distinct().limit(2).collect()
+    if len(kinds) != 1:
+        raise ValueError("a state has rows of one filter")
+    if size_for(kinds[0]["capacity"], kinds[0]["fp_rate"]) != (kinds[0]["m"], kinds[0]["k"]):
+        raise ValueError("size and number of hashes don't fit the capacity")
+    return state.select("position"), kinds[0]["m"], kinds[0]["k"]
+
+
+def with_more(state: DataFrame, items: DataFrame, column: str) -> DataFrame:
+    """An exported state after more items were added."""
+    first = state.select("capacity", "fp_rate", "m", "k", "n_items").first()
+    more = exported(items, column, first["capacity"], first["fp_rate"]).withColumn("n_items", F.col("n_items") + first["n_items"])
+    before = state.withColumn("n_items", F.lit(first["n_items"]) + F.lit(items.count()))
+    return before.unionByName(more.select(*state.columns)).distinct()

@@ -86,13 +86,13 @@ def categorical_property(flat: DataFrame, prop: str, category: str = "category_n
 
 
 def numerical_property(flat: DataFrame, prop: str, category: str = "category_name", digits: int = 3) -> DataFrame:
-    """Count, mean, deviation, extremes and linear quartiles of a property by category."""
+    """Count, mean, deviation, extremes and linear quartiles of a property by category; halves are rounded to even."""
     v = F.col(prop).cast("double")
     by = flat.where(v.isNotNull()).groupBy(category).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")
     )
     q = {"q25": F.col("_q")[0], "median": F.col("_q")[1], "q75": F.col("_q")[2]}
-    named = {k: F.round(F.col(k), digits) for k in ("mean", "std", "min", "max")} | {k: F.round(x, digits) for k, x in q.items()}
+    named = {k: F.bround(F.col(k), digits) for k in ("mean", "std", "min", "max")} | {k: F.bround(x, digits) for k, x in q.items()}
     return by.select(category, "n", *(x.alias(k) for k, x in named.items()))
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annogrid.functions import polygons as pg
-from annogrid.operators import density, features, merge, rects, stats, tiles
+from annogrid.operators import density, features, keypoints, merge, pixels, rects, stats, tiles
+from annogrid.operators.graph import checkpoint_folder
 from annogrid.plans import derive
 from annogrid.plans.derive import sql
+from annogrid.sources import coco, files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -138,9 +140,9 @@ def categorical_property(spark, sf_dir):
 
 @query(
     "numerical_property", "annotations", "categories",
-    body=f"""WITH {_FLAT} SELECT category_name, count(*) AS n, round(avg(bbox_area), 3) AS mean, round(stddev_samp(bbox_area), 3) AS std, round(min(bbox_area), 3) AS min,
-    round(max(bbox_area), 3) AS max, round(quantile_cont(bbox_area, 0.25), 3) AS q25, round(quantile_cont(bbox_area, 0.5), 3) AS median,
-    round(quantile_cont(bbox_area, 0.75), 3) AS q75 FROM flat GROUP BY 1""",
+    body=f"""WITH {_FLAT} SELECT category_name, count(*) AS n, round_even(avg(bbox_area), 3) AS mean, round_even(stddev_samp(bbox_area), 3) AS std, round_even(min(bbox_area), 3) AS min,
+    round_even(max(bbox_area), 3) AS max, round_even(quantile_cont(bbox_area, 0.25), 3) AS q25, round_even(quantile_cont(bbox_area, 0.5), 3) AS median,
+    round_even(quantile_cont(bbox_area, 0.75), 3) AS q75 FROM flat GROUP BY 1""",
 )
 def numerical_property(spark, sf_dir):
     return stats.numerical_property(_flat(spark, sf_dir), "bbox_area")
@@ -474,3 +476,65 @@ def merge_categories(spark, sf_dir):
     c = derive.categories(spark, sf_dir)
     moved = lambda where, by: c.where(where).withColumn("id", F.col("id") + by)
     return merge.merged_categories(c.where("id % 2 = 0").unionByName(moved("id % 4 = 0", 500)), moved("id % 3 <> 0", 1000).unionByName(moved("id % 5 = 1", 2000)))
+
+
+@query(
+    "image_headers", "images",
+    body="SELECT file_name, width, height FROM images WHERE id % 5 <> 4",
+)
+def image_headers(spark, sf_dir):
+    """Sizes read back from the first bytes of a PNG, GIF, BMP or WebP file of each image; every fifth is damaged."""
+    number = lambda c, bytes_: F.lpad(F.hex(F.col(c)), 2 * bytes_, "0")
+
+    def little(c: str, bytes_: int, less: int = 0):
+        digits = F.lpad(F.hex(F.col(c) - less), 2 * bytes_, "0")
+        return F.concat(*(F.substring(digits, 2 * (bytes_ - k) - 1, 2) for k in range(bytes_)))
+
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number("width", 4), number("height", 4), F.lit("0802000000"))
+    gif = F.concat(F.lit("474946383961"), little("width", 2), little("height", 2), F.lit("000000"))
+    bmp = F.concat(F.lit("424D" + "00" * 16), little("width", 4), little("height", 4), F.lit("01001800"))
+    webp = F.concat(F.lit("52494646000000005745425056503858" + "0A000000" + "00000000"), little("width", 3, 1), little("height", 3, 1))
+    kind = F.col("id") % 5
+    content = F.unhex(F.when(kind == 0, png).when(kind == 1, gif).when(kind == 2, bmp).when(kind == 3, webp).otherwise(F.substring(png, 1, 24)))
+    made = derive.images(spark, sf_dir).select(F.col("file_name").alias("path"), content.alias("content"))
+    return files.image_sizes(made).withColumnRenamed("path", "file_name")
+
+
+@query(
+    "image_problems", "images",
+    body="""SELECT id AS image_id, CASE WHEN id % 7 = 0 THEN 'no pixels' ELSE 'not 2D or 3D' END AS problem FROM images WHERE id % 7 = 0 OR id % 4 IN (0, 2)""",
+)
+def image_problems(spark, sf_dir):
+    """Images of one to four channels or none; every seventh has no rows."""
+    i = derive.images(spark, sf_dir)
+    height, channels = F.when(F.col("id") % 7 > 0, F.col("height")).otherwise(0), F.when(F.col("id") % 4 > 0, F.col("id") % 4).cast("int")
+    return pixels.image_problems(i.select(F.col("id").alias("image_id"), height.alias("height"), "width", channels.alias("channels")))
+
+
+@query(
+    "keypoints_both_sources", "annotations",
+    body="""SELECT image_id, uid, round(x, 6) AS x, round(y, 6) AS y, 'Original' AS img_source, 'corner' AS detector, CAST(row_number() OVER (PARTITION BY image_id ORDER BY uid) - 1 AS INT) AS keypoint_id FROM annotations
+    UNION ALL SELECT image_id, uid, round(x / 2, 6), round(y / 2, 6), 'Normalized', 'corner', CAST(row_number() OVER (PARTITION BY image_id ORDER BY uid) - 1 AS INT) FROM annotations WHERE line % 2 = 1""",
+)
+def keypoints_both_sources(spark, sf_dir):
+    """First corners as keypoints, and half of them in an image of half the size."""
+    a = derive.annotations(spark, sf_dir)
+    small = a.where("line % 2 = 1").select("image_id", "uid", F.round(F.col("x") / 2, 6).alias("x"), F.round(F.col("y") / 2, 6).alias("y"))
+    return keypoints.both_sources(small, a.select("image_id", "uid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")), "corner", "uid", image="image_id")
+
+
+@query("coco_round_trip", "images", "annotations", body="SELECT uid AS id, image_id, category_id, round(w * h, 6) AS area, x, y, w, h, iscrowd, i.file_name, i.width, i.height FROM annotations JOIN images i ON i.id = image_id")
+def coco_round_trip(spark, sf_dir):
+    """The tables written as COCO documents, one for each 64th of the images, and read back into relations."""
+    import uuid
+
+    from annogrid.operators.graph import checkpointed
+
+    i, a, c = derive.images(spark, sf_dir), derive.annotations(spark, sf_dir), derive.categories(spark, sf_dir)
+    boxes = a.select(F.col("uid").alias("id"), "image_id", "category_id", (F.col("w") * F.col("h")).alias("area"), F.array("x", "y", "w", "h").alias("bbox"), "iscrowd")
+    folder = f"{checkpoint_folder(spark)}/coco-{uuid.uuid4().hex}"
+    coco.documents(i, boxes, c, 64).write.text(folder)
+    got = coco.read(spark, folder, lines=True)
+    found = got["annotations"].join(got["images"].select(F.col("id").alias("image_id"), "file_name", "width", "height"), "image_id")
+    rows = found.select("id", "image_id", "category_id", F.round("area", 6).alias("area"), *(F.get("bbox", F.lit(k)).alias(n) for k, n in enumerate("xywh")), "iscrowd", "file_name", "width", "height")
+    return checkpointed(rows)

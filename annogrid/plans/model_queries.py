@@ -247,16 +247,20 @@ def bloom_statistics(spark, sf_dir):
 
 
 _GAP = "greatest(abs(a.x + a.w / 2 - b.x - b.w / 2) - (a.w + b.w) / 2, 0)"
+_DOWN = _GAP.replace(".x", ".y").replace(".w", ".h")
+#: Pixels within which pairs of an image are listed.
+_REACH = 16.0
 
 
 @query(
     "box_collisions", "annotations",
-    body=f"""SELECT a.uid AS a, b.uid AS b, {_GAP} = 0 AND {_GAP.replace('.x', '.y').replace('.w', '.h')} = 0 AS hit, round(sqrt(pow({_GAP}, 2) + pow({_GAP.replace('.x', '.y').replace('.w', '.h')}, 2)), 6) AS distance
-    FROM annotations a JOIN annotations b ON a.image_id = b.image_id AND a.uid < b.uid""",
+    body=f"""SELECT a.uid AS a, b.uid AS b, {_GAP} = 0 AND {_DOWN} = 0 AS hit, round(sqrt(pow({_GAP}, 2) + pow({_DOWN}, 2)), 6) AS distance
+    FROM annotations a JOIN annotations b ON a.image_id = b.image_id AND a.uid < b.uid WHERE sqrt(pow({_GAP}, 2) + pow({_DOWN}, 2)) <= {_REACH}""",
 )
 def box_collisions(spark, sf_dir):
+    """Boxes of an image that meet or lie near each other."""
     d = collisions.box_gap(*(F.col(c) for c in ("a_x", "a_y", "a_w", "a_h", "b_x", "b_y", "b_w", "b_h")))
-    return _pairs(spark, sf_dir).select("a", "b", (d == 0).alias("hit"), F.round(d, 6).alias("distance"))
+    return _pairs(spark, sf_dir).where(d <= _REACH).select("a", "b", (d == 0).alias("hit"), F.round(d, 6).alias("distance"))
 
 
 def _pairs(spark, sf_dir):
@@ -269,13 +273,26 @@ def _pairs(spark, sf_dir):
 _CIRCLE = "sqrt(pow(a.x + a.w / 2 - b.x - b.w / 2, 2) + pow(a.y + a.h / 2 - b.y - b.h / 2, 2)) - (a.w + b.w) / 2"
 
 
-@query("circle_distance", "annotations", body=f"SELECT a.uid AS a, b.uid AS b, {_CIRCLE} <= 0 AS hit, round(greatest({_CIRCLE}, 0), 6) AS distance FROM annotations a JOIN annotations b ON a.image_id = b.image_id AND a.uid < b.uid")
+@query("circle_distance", "annotations", body=f"SELECT a.uid AS a, b.uid AS b, {_CIRCLE} <= 0 AS hit, round(greatest({_CIRCLE}, 0), 6) AS distance FROM annotations a JOIN annotations b ON a.image_id = b.image_id AND a.uid < b.uid WHERE {_CIRCLE} <= {_REACH}")
 def circle_distance(spark, sf_dir):
     d = collisions.circle_gap(*(F.col(c) for c in ("a_x", "a_y", "a_w", "b_x", "b_y", "b_w")))
-    return _pairs(spark, sf_dir).select("a", "b", (d <= 0).alias("hit"), F.round(d, 6).alias("distance"))
+    return _pairs(spark, sf_dir).where(d <= _REACH).select("a", "b", (d <= 0).alias("hit"), F.round(d, 6).alias("distance"))
 
 
-@query("gjk_polygons")
+_TRIANGLE = "[{s}.x, {s}.x + {s}.w, {s}.x + {s}.w / 2] AS {s}_x, [{s}.y, {s}.y, {s}.y + {s}.h] AS {s}_y"
+
+
+@query(
+    "gjk_polygons", "annotations",
+    body=f"""WITH p AS (SELECT a.uid AS a, b.uid AS b, {_TRIANGLE.format(s="a")}, {_TRIANGLE.format(s="b")} FROM annotations a JOIN annotations b ON a.image_id = b.image_id AND a.uid < b.uid WHERE {_GAP} = 0 AND {_DOWN} = 0),
+    sides AS (SELECT a, b, a_x, a_y, b_x, b_y, a_x AS ox, a_y AS oy, b_x AS tx, b_y AS ty FROM p UNION ALL SELECT a, b, a_x, a_y, b_x, b_y, b_x, b_y, a_x, a_y FROM p),
+    edges AS (SELECT *, ox[e + 1] AS px, oy[e + 1] AS py, ox[(e + 1) % 3 + 1] AS qx, oy[(e + 1) % 3 + 1] AS qy FROM (SELECT *, unnest(range(3)) AS e FROM sides)),
+    axes AS (SELECT a, b, list_transform([1, 2, 3], lambda i: a_x[i] * (qy - py) - a_y[i] * (qx - px)) AS u, list_transform([1, 2, 3], lambda i: b_x[i] * (qy - py) - b_y[i] * (qx - px)) AS v FROM edges),
+    apart AS (SELECT a, b, bool_or(list_min(u) > list_max(v) OR list_min(v) > list_max(u)) AS apart FROM axes GROUP BY 1, 2),
+    feet AS (SELECT a, b, px, py, qx, qy, tx[i] AS cx, ty[i] AS cy, least(greatest(((tx[i] - px) * (qx - px) + (ty[i] - py) * (qy - py)) / (pow(qx - px, 2) + pow(qy - py, 2)), 0), 1) AS t FROM (SELECT *, unnest([1, 2, 3]) AS i FROM edges)),
+    nearest AS (SELECT a, b, min(sqrt(pow(px + t * (qx - px) - cx, 2) + pow(py + t * (qy - py) - cy, 2))) AS d FROM feet GROUP BY 1, 2)
+    SELECT a, b, NOT apart AS hit, round(CASE WHEN apart THEN d ELSE 0 END, 6) AS distance FROM apart JOIN nearest USING (a, b)""",
+)
 def gjk_polygons(spark, sf_dir):
     """Boxes of an image against each other as polygons, where their bounding boxes meet."""
     p = _pairs(spark, sf_dir)
@@ -397,9 +414,8 @@ def box_shapes(spark, sf_dir):
 
 @query("ward_labels")
 def ward_labels(spark, sf_dir):
-    """Ward linkage of the class means of the embeddings' labels: its bound on points holds at any size."""
-    means = clusters._centres(points(spark, sf_dir))
-    return clusters.ward_labels(means.select(F.col("label").cast("long").alias("id"), F.col("centre").alias("v")), 3)
+    """Ward linkage of all embeddings."""
+    return clusters.ward_labels(points(spark, sf_dir).select("id", "v"), 8)
 
 
 @query("generated_dataset")

@@ -10,13 +10,13 @@ CATEGORIES = "array<struct<id:bigint,name:string,supercategory:string>>"
 CORE = {"id": "bigint", "image_id": "bigint", "category_id": "bigint", "area": "double", "bbox": "array<double>", "iscrowd": "int", "keypoints": "array<double>"}
 
 
-def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """images, categories, annotations, info and licenses of the JSON documents at a path.
+def read(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """images, categories, annotations, info and licenses of the JSON documents at a path: one in each file, or one in each line.
 
     Annotations keep every property in `extra` (variant); segmentation is the list of flat polygons, null where it has
     another form; position numbers them in the order of the document.
     """
-    doc = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("d"))
+    doc = spark.read.option("wholetext", not lines).text(path).select(F.parse_json("value").alias("d"))
 
     def listed(name: str, kind: str) -> DataFrame:
         return doc.select(F.inline(F.try_variant_get("d", f"$.{name}", kind)))
@@ -63,6 +63,17 @@ def document(images: DataFrame, annotations: DataFrame, categories: DataFrame) -
     return gathered.select(F.to_json(F.struct("images", "annotations", "categories")).alias("value"))
 
 
+def documents(images: DataFrame, annotations: DataFrame, categories: DataFrame, n: int) -> DataFrame:
+    """n documents as JSON lines, one for each part of the images (by the hash of their id) with their annotations and all
+    categories: a dataset of any size, each document of a bounded one. read() with lines takes the folder they are written to."""
+    part = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(n))
+    listed = lambda df, name, by: df.groupBy(by.alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in df.columns if c != "id"]))).alias(name))
+    parts = listed(images, "images", part("id")).join(listed(annotations, "annotations", part("image_id")), "part", "full")
+    named = categories.agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in categories.columns if c != "id"]))).alias("categories"))
+    empty = {c: F.coalesce(F.col(c), F.array()) for c in ("images", "annotations")}
+    return parts.crossJoin(F.broadcast(named)).withColumns(empty).select(F.to_json(F.struct("images", "annotations", "categories")).alias("value"))
+
+
 def write_parts(images: DataFrame, annotations: DataFrame, folder: str) -> None:
     """Annotations with their image's size and name as JSON lines, a folder for each resolution."""
     sized = annotations.join(images.select(F.col("id").alias("image_id"), "width", "height", "file_name"), "image_id")

@@ -23,37 +23,75 @@ def by_base_name(files: DataFrame) -> DataFrame:
     return files.groupBy(F.element_at(F.split("path", "/"), -1).alias("name")).agg(F.max("path").alias("path"))
 
 
+def _tiff_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height (tags 256 and 257) of the first directory of a TIFF or BigTIFF file."""
+    order = {b"II": "<", b"MM": ">"}[data[:2]]
+    big = struct.unpack(order + "H", data[2:4])[0] == 43
+    at = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
+    n = struct.unpack_from(order + ("Q" if big else "H"), data, at)[0]
+    at += 8 if big else 2
+    found = {}
+    for k in range(n):
+        tag, kind = struct.unpack_from(order + "HH", data, at + k * (20 if big else 12))
+        if tag in (256, 257):
+            value = {1: "B", 3: "H", 4: "I", 16: "Q"}[kind]
+            found[tag] = struct.unpack_from(order + value, data, at + k * (20 if big else 12) + (12 if big else 8))[0]
+    return (found[256], found[257]) if len(found) == 2 else None
+
+
+def _webp_size(data: bytes) -> tuple[int, int] | None:
+    kind, body = data[12:16], data[20:]
+    if kind == b"VP8X":
+        return 1 + int.from_bytes(body[4:7], "little"), 1 + int.from_bytes(body[7:10], "little")
+    if kind == b"VP8L" and body[:1] == b"\x2f":
+        bits = int.from_bytes(body[1:5], "little")
+        return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+    if kind == b"VP8 " and body[3:6] == b"\x9d\x01\x2a":
+        return struct.unpack("<H", body[6:8])[0] & 0x3FFF, struct.unpack("<H", body[8:10])[0] & 0x3FFF
+    return None
+
+
 def header_size(data: bytes) -> tuple[int, int] | None:
-    """Width and height from the header of a PNG, GIF, BMP or JPEG file."""
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
-        return struct.unpack(">II", data[16:24])
-    if data[:4] == b"GIF8" and len(data) >= 10:
-        return struct.unpack("<HH", data[6:10])
-    if data[:2] == b"BM" and len(data) >= 26:
-        width, height = struct.unpack("<ii", data[18:26])
-        return width, abs(height)
-    if data[:2] == b"\xff\xd8":
-        at = 2
-        while at + 9 < len(data):
-            if data[at] != 0xFF:
-                return None
-            kind = data[at + 1]
-            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-                height, width = struct.unpack(">HH", data[at + 5 : at + 9])
-                return width, height
-            at += 1 if kind == 0xFF else 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+    """Width and height from the header of a PNG, GIF, BMP, JPEG, TIFF or WebP file; None where it can't be read."""
+    try:
+        if data[:8] == b"\x89PNG\r\n\x1a\n":
+            return struct.unpack(">II", data[16:24])
+        if data[:4] == b"GIF8":
+            return struct.unpack("<HH", data[6:10])
+        if data[:2] == b"BM":
+            width, height = struct.unpack("<ii", data[18:26])
+            return width, abs(height)
+        if data[:4] in (b"II*\0", b"MM\0*", b"II+\0", b"MM\0+"):
+            return _tiff_size(data)
+        if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+            return _webp_size(data)
+        if data[:2] == b"\xff\xd8":
+            at = 2
+            while at + 9 <= len(data) and data[at] == 0xFF:
+                kind = data[at + 1]
+                if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                    height, width = struct.unpack(">HH", data[at + 5 : at + 9])
+                    return width, height
+                at += 1 if kind == 0xFF else 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+    except (struct.error, KeyError):
+        pass
     return None
 
 
 def image_sizes(files: DataFrame) -> DataFrame:
-    """path, width and height; files whose header can't be read are left out."""
+    """path, width and height; files whose header can't be read are left out.
+
+    Headers may lie anywhere (a TIFF's directory is often its end, a JPEG's frame follows all embedded profiles), so that the
+    whole content is looked at.
+    """
 
     def run(batches):
         for batch in batches:
             sizes = [header_size(x or b"") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([s and s[k] for s in sizes], pa.int32()) for k in (0, 1))], ["path", "width", "height"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([s and s[k] for s in sizes], pa.int64()) for k in (0, 1))], ["path", "width", "height"])
 
-    return files.select("path", F.substring("content", 1, 65536).alias("content")).mapInArrow(run, "path string, width int, height int").where("width is not null")
+    found = files.select("path", "content").mapInArrow(run, "path string, width long, height long").where("width is not null")
+    return found.select("path", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))
 
 
 def planned_moves(sizes: DataFrame, target: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from annogrid.functions import polygons as pg
 from annogrid.functions import strings
-from annogrid.operators import advice, clusters, collisions, features, graph, homography, merge, pixels, rects, sketches, spectrum, stats
+from annogrid.operators import advice, clusters, collisions, features, graph, homography, keypoints, merge, pixels, rects, sketches, spectrum, stats
 from annogrid.sources import coco, files
 from annogrid.streaming import frames as stream
 
@@ -207,6 +207,112 @@ def test_image_files(spark, tmp_path):
     assert files.load_settings(pixels.ExposureLimits, str(tmp_path / "s.yaml")).over == 200 and files.load_settings(pixels.ExposureLimits, "/none").over == 240
 
 
+def test_header_sizes():
+    import struct
+
+    segment = lambda kind, body: b"\xff" + bytes([kind]) + struct.pack(">H", len(body) + 2) + body
+    late = b"\xff\xd8" + segment(0xE1, b"x" * 65000) + segment(0xE2, b"y" * 65000) + segment(0xC0, struct.pack(">BHHB", 8, 480, 640, 3) + b"\0" * 9)
+    assert files.header_size(late) == (640, 480)
+    for order, mark in (("<", b"II"), (">", b"MM")):
+        pixels_ = b"\0" * 70000  # the directory is the end of the file
+        entry = lambda tag, kind, value: struct.pack(order + "HHI", tag, kind, 1) + (struct.pack(order + "H", value) + b"\0\0" if kind == 3 else struct.pack(order + "I", value))  # noqa: E731, B023
+        tiff = mark + struct.pack(order + "HI", 42, 8 + len(pixels_)) + pixels_ + struct.pack(order + "H", 3) + entry(254, 4, 0) + entry(256, 3, 70) + entry(257, 4, 1000) + b"\0" * 4
+        assert files.header_size(tiff) == (70, 1000) and files.header_size(tiff[:-30]) is None
+    webp = lambda kind, body: b"RIFF\0\0\0\0WEBP" + kind + struct.pack("<I", len(body)) + body
+    assert files.header_size(webp(b"VP8X", b"\0" * 4 + (99).to_bytes(3, "little") + (49).to_bytes(3, "little"))) == (100, 50)
+    assert files.header_size(webp(b"VP8L", b"\x2f" + (99 | 49 << 14).to_bytes(4, "little"))) == (100, 50)
+    assert files.header_size(webp(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 100, 50))) == (100, 50)
+    assert files.header_size(webp(b"VP8 ", b"")) is files.header_size(b"") is files.header_size(b"\xff\xd8\xff") is None
+
+
+def test_ward_chains_are_the_greedy_merges(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 1.0, (25, 3)) for c in (0, 3, 9)])
+    groups = [[i] for i in range(len(x))]
+
+    def cost(a, b):
+        return len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(axis=0) - x[b].mean(axis=0)) ** 2).sum()
+
+    df = spark.createDataFrame([(i * 2, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    while len(groups) > 2:
+        i, j = min(((i, j) for j in range(len(groups)) for i in range(j)), key=lambda p: cost(groups[p[0]], groups[p[1]]))
+        groups[i] += groups.pop(j)
+        if len(groups) in (7, 3, 2):
+            found = {}
+            for r in clusters.ward_labels(df, len(groups)).collect():
+                found.setdefault(r.label, set()).add(r.id // 2)
+            assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups))
+    assert {r.label for r in clusters.ward_labels(df, 1).collect()} == {0} and clusters.ward_labels(df.limit(0), 2).count() == 0
+    with pytest.raises(ValueError):
+        clusters.ward_labels(df, 2, most=10)
+
+
+def test_search_takes_ward_beyond_four_thousand(spark, monkeypatch):
+    p = spark.createDataFrame([(i, [float(i % 2) * 50 + i % 13 * 0.01, float(i % 7)]) for i in range(4001)], "id long, v array<double>")
+    for name in ("kmeans_labels", "gmm_labels"):
+        monkeypatch.setattr(clusters, name, lambda points, k: points.select("id", (F.col("id") % 4 % 3 % k).alias("label")))
+    got = {r.name: r for r in clusters.search(p, range(2, 3), eps=()).collect()}
+    assert got["agglomerative_2"].best and got["agglomerative_2"].silhouette > 0.8
+
+
+def test_nearest_and_dbscan_by_blocks(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 6, (40, 2)).astype(float), rng.integers(0, 6, (50, 2)).astype(float)  # many ties
+    frame = lambda z, by: spark.createDataFrame([(i * by, v.tolist()) for i, v in enumerate(z)], "id long, v array<double>")
+    d = ((x[:, None] - y[None]) ** 2).sum(axis=2)
+    want = {(i, int(d[i].argmin()) * 3) for i in range(40) if d[:, d[i].argmin()].argmin() == i}
+    for blocks in (1, 3):
+        assert {(r.left_id, r.right_id) for r in clusters.mutual_nearest(frame(x, 1), frame(y, 3), blocks).collect()} == want
+    one, many = ({(r.id, r.label) for r in clusters.dbscan(frame(rng.permutation(x) * 0 + x, 1), 1.0, 5, b).collect()} for b in (1, 3))
+    assert one == many
+
+
+def test_models_are_kept(spark, tmp_path):
+    from pyspark.ml.clustering import KMeansModel
+
+    p = spark.createDataFrame([(i, [float(i % 3) * 10, float(i % 2)]) for i in range(30)], "id long, v array<double>")
+    model = clusters.kmeans_model(p, 3, starts=2)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = clusters.labelled_by(KMeansModel.load(str(tmp_path / "m")), p)
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in clusters.labelled_by(model, p).collect()}
+
+
+def test_keypoint_tables(spark):
+    a = spark.createDataFrame([("i", 1.0, 2.0), ("i", 3.0, 4.0), ("j", 5.0, 6.0)], "image_name string, x double, y double")
+    got = {(r.image_name, r.img_source, r.keypoint_id, r.x) for r in keypoints.both_sources(a.where("x < 5"), a, "corner", "x").collect()}
+    assert got == {("i", "Normalized", 0, 1.0), ("i", "Normalized", 1, 3.0), ("i", "Original", 0, 1.0), ("i", "Original", 1, 3.0), ("j", "Original", 0, 5.0)}
+    images = spark.createDataFrame([("i",), ("j",)], "image_name string")
+    assert keypoints.checked(a, images).count() == 3
+    with pytest.raises(Exception, match="no keypoints in j"):
+        keypoints.checked(a.where("x < 5"), images).collect()
+
+
+def test_bloom_state_and_pixels(spark, tmp_path):
+    state = sketches.exported(spark.range(50), "id", 200)
+    state.write.parquet(str(tmp_path / "bloom"))
+    back, m, k = sketches.imported(spark.read.parquet(str(tmp_path / "bloom")))
+    assert all(r.might_exist for r in sketches.might_contain(back, spark.range(50), "id", m, k).collect())
+    more = sketches.with_more(spark.read.parquet(str(tmp_path / "bloom")), spark.range(50, 60), "id")
+    assert {tuple(r) for r in more.collect()} == {tuple(r) for r in sketches.exported(spark.range(60), "id", 200).collect()}
+    with pytest.raises(ValueError):
+        sketches.imported(state.unionByName(sketches.exported(spark.range(5), "id", 300)))
+    images = spark.createDataFrame([(1, 2, 2, 3), (2, 2, 2, 1), (3, 0, 2, 3), (4, 2, 2, 2), (5, 2, 2, None)], "image_id int, height int, width int, channels int")
+    assert {r.image_id: r.problem for r in pixels.image_problems(images).collect()} == {3: "no pixels", 4: "not 2D or 3D", 5: "not 2D or 3D"}
+    assert {r.image_id for r in pixels.image_problems(images, colour=True).collect()} == {2, 3, 4, 5}
+    p = spark.range(16).select(F.lit(1).alias("image_id"), (F.col("id") / 4).cast("int").alias("row"), (F.col("id") % 4).cast("int").alias("col"))
+    assert {(r["row"], r["col"]) for r in pixels.cropped(p, 1, 2, 2, 5).collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+
+
+def test_moved_solids(spark):
+    cube = [float(x) for a in (-1, 1) for b in (-1, 1) for c in (-1, 1) for x in (a, b, c)]
+    turn = [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    rows = [(("polyhedron", cube), ("capsule", [0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.5]), (turn, [5.0, 0.0, 0.0])), (("polyhedron", cube), ("line", [-9.0, 0.0, 0.0, 9.0, 0.0, 0.0]), None), (("coco_bbox", [0.0, 0.0, 2.0, 2.0]), ("coco_segmentation", [5.0, 0.0, 6.0, 0.0, 5.0, 1.0]), None)]
+    df = spark.createDataFrame(rows, f"shape_a {collisions.SHAPE}, shape_b {collisions.SHAPE}, move struct<rotation:array<double>,translation:array<double>>")
+    got = [(r.collision.hit, round(r.collision.distance, 6)) for r in collisions.collide(df, moved="move").collect()]
+    assert got == [(False, 3.5), (True, 0.0), (False, 3.0)]
+    assert collisions.support_index(np.array([[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]]), np.array([1.0, 0.0]))[1] == 1
+
+
 def test_metadata_strings(spark):
     values = ["24", "7/2", "1 1/2", "-7/2", "a", "1/0", None]
     df = spark.createDataFrame([(v,) for v in values], "t string")
