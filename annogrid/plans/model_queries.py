@@ -240,12 +240,6 @@ def bloom_parameters(spark, sf_dir):
     return rows.withColumns({"m": sketches.parameters(F.col("n"), F.col("p"))["m"]}).select("n", "p", "m", *(v.alias(k) for k, v in sketches.parameters(F.col("n"), F.col("p")).items() if k != "m"))
 
 
-@query("bloom_statistics")
-def bloom_statistics(spark, sf_dir):
-    items = derive.images(spark, sf_dir)
-    return sketches.statistics(items, "id", max(1, int(items.count() * 1.5 * 1.3)))
-
-
 _GAP = "greatest(abs(a.x + a.w / 2 - b.x - b.w / 2) - (a.w + b.w) / 2, 0)"
 _DOWN = _GAP.replace(".x", ".y").replace(".w", ".h")
 #: Pixels within which pairs of an image are listed.
