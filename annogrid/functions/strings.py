@@ -19,13 +19,21 @@ def packet(text: Column, begin: str, end: str) -> Column:
     return F.when((start > 0) & (stop > 0), F.substring(tail, F.lit(1), stop + len(end) - 1))
 
 
+def last_by_key(entries: Column) -> Column:
+    """A map of (key, value) entries; of equal keys the last. The entries are worked out once, as the variable of a function."""
+
+    def kept(bound: Column) -> Column:
+        return F.filter(bound, lambda e, i: ~F.exists(F.slice(bound, i + 2, F.size(bound)), lambda q: q["key"] == e["key"]))
+
+    return F.map_from_entries(F.get(F.transform(F.array(entries), kept), F.lit(0)))
+
+
 def attributes(tag: Column) -> Column:
     """name="value" attributes of a start tag as a map; of equal names the last."""
     pattern = r'([\w:]+)="([^"]*)"'
     names, values = (F.regexp_extract_all(tag, F.lit(pattern), F.lit(k)) for k in (1, 2))
     pairs = F.zip_with(names, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    return last_by_key(pairs)
 
 
 def xmp_attributes(content: Column) -> Column:
@@ -56,10 +64,10 @@ def number_or_null(text: Column) -> Column:
 def local_names(metadata: Column) -> Column:
     """A map with the part of each key after its last colon; of equal names the last."""
     entries = F.transform(F.map_entries(metadata), lambda e: F.struct(F.element_at(F.split(e["key"], ":"), -1).alias("key"), e["value"].alias("value")))
-    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda q: q["key"] == e["key"])))
+    return last_by_key(entries)
 
 
 def merged_maps(*maps: Column) -> Column:
     """Maps united; a later map's value wins."""
     entries = F.concat(*(F.coalesce(F.map_entries(m), F.array().cast("array<struct<key:string,value:string>>")) for m in maps))
-    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda q: q["key"] == e["key"])))
+    return last_by_key(entries)

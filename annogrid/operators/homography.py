@@ -64,24 +64,34 @@ def match_by_name(images: DataFrame, corrected: DataFrame) -> DataFrame:
 def estimate(pairs: DataFrame, threshold: float = 5.0, confidence: float = 0.99, rounds: int = 2000, seed: int = 0) -> DataFrame:
     """A homography for each image_id from (image_id, x, y, u, v), by random samples of four and a fit to the inliers."""
 
-    def solve(p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
+    def solve(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """A homography for each sample of points (sample, point, xy); one without a finite answer is all NaN."""
+
         def normal(z):
-            centre = z.mean(axis=0)
-            scale = np.sqrt(2) / max(np.linalg.norm(z - centre, axis=1).mean(), 1e-12)
-            return np.array([[scale, 0, -scale * centre[0]], [0, scale, -scale * centre[1]], [0, 0, 1]])
+            centre = z.mean(axis=1)
+            scale = np.sqrt(2) / np.maximum(np.linalg.norm(z - centre[:, None], axis=2).mean(axis=1), 1e-12)
+            t = np.zeros((len(z), 3, 3))
+            t[:, 0, 0] = t[:, 1, 1] = scale
+            t[:, :2, 2] = -scale[:, None] * centre
+            t[:, 2, 2] = 1
+            return t
 
         t, s = normal(p), normal(q)
-        a, b = p @ t[:2, :2].T + t[:2, 2], q @ s[:2, :2].T + s[:2, 2]
-        one, zero = np.ones(len(a)), np.zeros((len(a), 3))
-        left = np.column_stack([a, one])
-        rows = np.vstack([np.hstack([left, zero, -b[:, :1] * left]), np.hstack([zero, left, -b[:, 1:] * left])])
-        h = np.linalg.inv(s) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ t
-        return None if abs(h[2, 2]) < 1e-12 else h / h[2, 2]
+        a, b = (z @ m[:, :2, :2].swapaxes(1, 2) + m[:, None, :2, 2] for z, m in ((p, t), (q, s)))
+        left = np.concatenate([a, np.ones((*a.shape[:2], 1))], axis=2)
+        zero = np.zeros_like(left)
+        rows = np.concatenate([np.concatenate([left, zero, -b[..., :1] * left], axis=2), np.concatenate([zero, left, -b[..., 1:] * left], axis=2)], axis=1)
+        # The last right vector; eight equations have it only in the full decomposition.
+        least = np.linalg.svd(rows, full_matrices=rows.shape[1] < 9)[2][:, -1].reshape(-1, 3, 3)
+        h = np.linalg.inv(s) @ least @ t
+        scale = h[:, 2:, 2:]
+        return np.where(np.abs(scale) < 1e-12, np.nan, h / np.where(scale == 0, 1, scale))
 
     def off(h: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        z = np.column_stack([p, np.ones(len(p))]) @ h.T
+        """Distances (sample, point) between the points' places and where they should be."""
+        z = np.column_stack([p, np.ones(len(p))]) @ h.swapaxes(1, 2)
         with np.errstate(all="ignore"):
-            d = np.linalg.norm(z[:, :2] / z[:, 2:] - q, axis=1)
+            d = np.linalg.norm(z[..., :2] / z[..., 2:] - q, axis=2)
         return np.where(np.isfinite(d), d, np.inf)
 
     def run(table: pa.Table) -> pa.Table:
@@ -89,16 +99,18 @@ def estimate(pairs: DataFrame, threshold: float = 5.0, confidence: float = 0.99,
         rng, best, need, n = np.random.default_rng(seed), np.zeros(len(p), bool), rounds, len(p)
         k = 0
         while n >= 4 and k < need:
-            k += 1
-            pick = rng.choice(n, 4, replace=False)
-            h = solve(p[pick], q[pick])
-            good = off(h, p, q) < threshold if h is not None else best & False
-            if good.sum() > best.sum():
-                best = good
-                share = good.mean() ** 4
+            size = min(max(1, min(32, (1 << 20) // n)), need - k)  # samples at once
+            pick = rng.random((size, n)).argpartition(3, axis=1)[:, :4] if n > 4 else np.tile(np.arange(4), (size, 1))
+            good = off(solve(p[pick], q[pick]), p, q) < threshold
+            k += size
+            found = good.sum(axis=1)
+            first = int(found.argmax())
+            if found[first] > best.sum():
+                best = good[first]
+                share = best.mean() ** 4
                 need = min(rounds, int(np.ceil(np.log(1 - confidence) / np.log(max(1 - share, 1e-12)))) + 1) if share < 1 else k
-        h = solve(p[best], q[best]) if best.sum() >= 4 else None
-        flat = [None] * 9 if h is None else h.ravel().tolist()
+        h = solve(p[None, best], q[None, best])[0] if best.sum() >= 4 else np.full((3, 3), np.nan)
+        flat = [None] * 9 if np.isnan(h).any() else h.ravel().tolist()
         columns = {"image_id": [table.column("image_id")[0].as_py()], "inliers": [int(best.sum())]} | {m: [v] for m, v in zip(MATRIX, flat, strict=True)}
         return pa.table({k: pa.array(v, pa.float64() if k in MATRIX else pa.int64()) for k, v in columns.items()})
 
