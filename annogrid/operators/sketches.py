@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,14 +46,50 @@ def murmur3_32(data: bytes, seed: int = 0) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
+def murmur3_32_of(texts: pa.Array, seed: int = 0) -> np.ndarray:
+    """murmur3_32 of every text of an Arrow array of binaries, one word of all texts at a time."""
+    flat = np.frombuffer(b"".join(texts.to_pylist()) + b"\0" * 4, np.uint8).astype(np.uint32)
+    sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+    starts, whole = np.cumsum(sizes) - sizes, sizes // 4
+    h = np.full(len(sizes), seed & 0xFFFFFFFF, np.uint32)
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return x << np.uint32(by) | x >> np.uint32(32 - by)
+
+    def scrambled(k: np.ndarray) -> np.ndarray:
+        return turned(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+
+    live = np.arange(len(sizes))
+    for i in range(int(whole.max(initial=0))):
+        live = live[whole[live] > i]
+        at = starts[live] + 4 * i
+        word = flat[at] | flat[at + 1] << np.uint32(8) | flat[at + 2] << np.uint32(16) | flat[at + 3] << np.uint32(24)
+        h[live] = turned(h[live] ^ scrambled(word), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    rest, at = sizes % 4, starts + 4 * whole
+    tail = np.zeros(len(sizes), np.uint32)
+    for k in range(3):
+        more = rest > k
+        tail[more] |= flat[at[more] + k] << np.uint32(8 * k)
+    h ^= np.where(rest > 0, scrambled(tail), np.uint32(0)) ^ sizes.astype(np.uint32)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> np.uint32(shift)) * np.uint32(factor)
+    return (h ^ h >> np.uint32(16)).view(np.int32).astype(np.int64)
+
+
+def _bytes_of(values: pa.Array) -> pa.Array:
+    """The texts of values as Python writes them, as binaries."""
+    if pa.types.is_integer(values.type) or pa.types.is_string(values.type):
+        return values.cast(pa.string()).fill_null("None").cast(pa.binary())
+    return pa.array([str(v).encode() for v in values.to_pylist()], pa.binary())
+
+
 def positions(items: DataFrame, column: str, m: int, k: int) -> DataFrame:
     """(item, position): k bit positions of each item by double hashing."""
 
     def run(batches):
         for batch in batches:
-            values = batch.column(0).to_pylist()
-            h = [[murmur3_32(str(v).encode(), s) for v in values] for s in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h[0], pa.int64()), pa.array(h[1], pa.int64())], ["item", "h1", "h2"])
+            texts = _bytes_of(batch.column(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(murmur3_32_of(texts, s)) for s in (0, 1))], ["item", "h1", "h2"])
 
     hashed = items.select(column).mapInArrow(run, f"item {dict(items.dtypes)[column]}, h1 long, h2 long")
     return hashed.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(F.col("h1") + i * F.col("h2"), F.lit(m)))).alias("position"))

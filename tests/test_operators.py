@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -443,3 +444,14 @@ def test_rectangles_of_images(spark):
     wanted = spark.createDataFrame([(2, 0), (1, 1)], "id long, position long")
     got = {r.idx: (r.id, r.x1) for r in coco.rectangles_of_images(ann, wanted).collect()}
     assert got == {0: (11, 2.0), 1: (10, 2.0), 2: (12, 4.0)}
+
+
+def test_murmur_of_arrays():
+    rng = random.Random(5)
+    texts = [b"", b"a", b"\xff" * 7, *(rng.randbytes(rng.randrange(40)) for _ in range(300))]
+    for seed in (0, 1, 0x9747B28C):
+        assert sketches.murmur3_32_of(pa.array(texts, pa.binary()), seed).tolist() == [sketches.murmur3_32(t, seed) for t in texts]
+    part = pa.array(texts, pa.binary())[5:9]
+    assert sketches.murmur3_32_of(part).tolist() == [sketches.murmur3_32(t) for t in texts[5:9]]
+    assert not len(sketches.murmur3_32_of(pa.array([], pa.binary())))
+    assert sketches._bytes_of(pa.array([7, None, -2])).to_pylist() == [b"7", b"None", b"-2"]
