@@ -215,29 +215,13 @@ def _vectors(points: DataFrame, out: str = "features") -> DataFrame:
     return points.withColumn(out, array_to_vector("v"))
 
 
-#: KMeans fits that run at the same time: small tables leave most cores to the others.
-FITS = 8
-
-
-def _fits(kept: DataFrame, wanted: list[tuple[int, int]]) -> list:
-    """KMeans models of (k, seed) over kept vectors in the column `features`, several at a time."""
-    from multiprocessing.pool import ThreadPool
-
-    from pyspark import inheritable_thread_target
-    from pyspark.ml.clustering import KMeans
-
-    one = inheritable_thread_target(kept.sparkSession)(lambda ks: KMeans(k=ks[0], seed=ks[1], featuresCol="features").fit(kept))
-    with ThreadPool(min(FITS, max(1, len(wanted)))) as pool:
-        return pool.map(one, wanted, chunksize=1)
-
-
 def kmeans_models(points: DataFrame, ks: range | list[int], starts: int = 10, seed: int = 42) -> dict:
     """For each k the model of the start with the lowest cost, on vectors in the column `features`; of equal ones the first."""
+    from pyspark.ml.clustering import KMeans
+
     kept = _vectors(points).select("features").persist()
     try:
-        wanted = [(k, seed + i) for k in ks for i in range(starts)]
-        models = _fits(kept, wanted)
-        return {k: min((m for m, (j, _) in zip(models, wanted, strict=True) if j == k), key=lambda m: m.summary.trainingCost) for k in ks}
+        return {k: min((KMeans(k=k, seed=seed + i, featuresCol="features").fit(kept) for i in range(starts)), key=lambda m: m.summary.trainingCost) for k in ks}
     finally:
         kept.unpersist()
 
