@@ -31,35 +31,35 @@ class ChromaSettings:
     clip_multiple: float = 2.0
 
 
-def _slide(df: DataFrame, values: list[str], radius: int, along: str, across: str, size: str) -> DataFrame:
+def _slide(df: DataFrame, values: list[str], radius: int, along: str, across: str, size: str, kept: list[str]) -> DataFrame:
     n, i = F.col(size), F.col(along)
     # All places j from -radius to size + radius - 1 that an index stands for, the edge counted twice.
     turns = F.sequence(F.lit(-(radius // 2) - 1), F.lit(radius // 2 + 1))
     places = F.flatten(F.transform(turns, lambda t: F.array(i + 2 * n * t, -i - 1 + 2 * n * t)))
     padded = df.withColumn("_at", F.explode(F.filter(places, lambda j: (j >= -radius) & (j < n + radius))))
     window = Window.partitionBy("image_id", across).orderBy("_at").rowsBetween(-radius, radius)
-    return padded.select(*PLACE, "_at", *(F.avg(v).over(window).alias(v) for v in values)).where(F.col("_at") == F.col(along)).drop("_at")
+    return padded.select(*PLACE, *kept, "_at", *(F.avg(v).over(window).alias(v) for v in values)).where(F.col("_at") == F.col(along)).drop("_at")
 
 
-def box_means(df: DataFrame, values: list[str], radius: int) -> DataFrame:
-    """Means over (2 radius + 1) squared windows of several columns at once."""
-    flat = df.select(*PLACE, *values)
-    return _slide(_slide(flat, values, radius, "col", "row", "cols"), values, radius, "row", "col", "rows")
+def box_means(df: DataFrame, values: list[str], radius: int, kept: list[str] = ()) -> DataFrame:
+    """Means over (2 radius + 1) squared windows of several columns at once; the columns `kept` go along as they are."""
+    flat = df.select(*PLACE, *kept, *values)
+    return _slide(_slide(flat, values, radius, "col", "row", "cols", kept), values, radius, "row", "col", "rows", kept)
 
 
 def guided(df: DataFrame, guide: str, sources: list[str], radius: int, eps: float) -> DataFrame:
     """Each source smoothed along the guide's edges; the other columns are kept. All sources share two passes."""
+    # The other columns go through the windows: a join of pixels with pixels would move both, or broadcast one.
+    own = [c for c in df.columns if c not in PLACE and c not in sources]
     g = F.col(guide)
-    wide = df.select(*PLACE, g.alias("_g"), (g * g).alias("_gg"), *(F.col(s).alias(f"_s{k}") for k, s in enumerate(sources)), *((g * F.col(s)).alias(f"_gs{k}") for k, s in enumerate(sources)))
-    means = box_means(wide, wide.columns[len(PLACE) :], radius)
+    wide = df.select(*PLACE, *own, g.alias("_g"), (g * g).alias("_gg"), *(F.col(s).alias(f"_s{k}") for k, s in enumerate(sources)), *((g * F.col(s)).alias(f"_gs{k}") for k, s in enumerate(sources)))
+    means = box_means(wide, wide.columns[len(PLACE) + len(own) :], radius, own)
     lines = []
     for k in range(len(sources)):
         a = (F.col(f"_gs{k}") - F.col("_g") * F.col(f"_s{k}")) / (F.col("_gg") - F.col("_g") * F.col("_g") + eps)
         lines += [a.alias(f"_a{k}"), (F.col(f"_s{k}") - a * F.col("_g")).alias(f"_b{k}")]
-    smooth = box_means(means.select(*PLACE, *lines), [f"_{x}{k}" for k in range(len(sources)) for x in "ab"], radius)
-    joined = df.drop(*sources).join(smooth, PLACE)
-    out = joined.withColumns({s: F.col(f"_a{k}") * g + F.col(f"_b{k}") for k, s in enumerate(sources)})
-    return out.drop(*(f"_{x}{k}" for k in range(len(sources)) for x in "ab"))
+    smooth = box_means(means.select(*PLACE, *own, *lines), [f"_{x}{k}" for k in range(len(sources)) for x in "ab"], radius, own)
+    return smooth.select(*PLACE, *own, *((F.col(f"_a{k}") * g + F.col(f"_b{k}")).alias(s) for k, s in enumerate(sources)))
 
 
 def log_ratio(target: Column, guide: Column, s: ChromaSettings) -> tuple[Column, Column]:

@@ -11,6 +11,8 @@ from annogrid.operators import chroma, pixels, spectrum
 from annogrid.plans import derive
 
 SIDE = 16
+#: Images whose pixels a partition has.
+IMAGES = 256
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -21,8 +23,10 @@ grays AS (SELECT *, CAST((299 * r + 587 * g + 114 * b + 500) // 1000 AS INT) AS
 
 
 def pixel_table(spark, sf_dir):
+    """The images are dealt out before their pixels are made, so that what is done by image moves no pixels."""
     place = F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("k")
-    p = derive.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("image_id"), place)
+    ids = derive.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("image_id"))
+    p = ids.repartition(max(1, -(-ids.count() // IMAGES)), "image_id").select("image_id", place)
     p = p.select("image_id", F.floor(F.col("k") / SIDE).cast("int").alias("row"), (F.col("k") % SIDE).cast("int").alias("col"))
     row, col, i = F.col("row"), F.col("col"), F.col("image_id")
     return p.withColumns({"b": ((row * 7 + col * 13 + i * 31) % 256).cast("int"), "g": ((row * col * 5 + i * 17) % 256).cast("int"), "r": ((row * 11 + i * (col + 3)) % 256).cast("int")})
