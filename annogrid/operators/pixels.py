@@ -135,7 +135,8 @@ def percentile_normalised(pixels: DataFrame, low: float = 0.01, high: float = 0.
     q = pixels.groupBy("image_id").agg(F.percentile(gray(), F.array(F.lit(low), F.lit(high))).alias("q"))
     v = 255.0 * (gray() - F.col("q")[0]) / (F.col("q")[1] - F.col("q")[0] + 1e-20)
     v = F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)) if clip else v
-    return pixels.join(q, "image_id").select("image_id", "row", "col", F.round(v, digits).alias("value"))
+    # A row for each image is the side to hash: pixels, whose number Catalyst may take for that of the images, must not be broadcast.
+    return pixels.join(q.hint("shuffle_hash"), "image_id").select("image_id", "row", "col", F.round(v, digits).alias("value"))
 
 
 def image_problems(images: DataFrame, colour: bool = False) -> DataFrame:

@@ -20,3 +20,9 @@ def test_guided_filter_moves_no_pixels(spark):
     assert "Join" not in text
     assert exchanges(text) == ["Exchange hashpartitioning"]  # of the images, before they have pixels
     assert text.rindex("Generate") < text.index("Exchange ")
+
+
+def test_percentile_normalised_broadcasts_no_pixels(spark):
+    text = plan(catalog.QUERIES["percentile_normalised"](spark, DATA))
+    assert "Broadcast" not in text and "SortMergeJoin" not in text
+    assert set(exchanges(text)) == {"Exchange hashpartitioning"} and text.count("REPARTITION_BY_NUM") == len(exchanges(text))
