@@ -42,12 +42,14 @@ def remapped(pixels: DataFrame, plan: DataFrame, values: list[str]) -> DataFrame
     y, x = F.col("row") - half_r, F.col("col") - half_c
     r2 = (x * x + y * y) / (half_r * half_r + half_c * half_c)
     factor = 1 + F.col("k1") * r2 + F.col("k2") * r2 * r2 + F.col("k3") * r2 * r2 * r2
-    p = pixels.join(plan.where(F.col("status") == "corrected").select("image_id", "k1", "k2", "k3"), "image_id")
-    p = p.select("image_id", "row", "col", (y * factor + half_r).alias("sy"), (x * factor + half_c).alias("sx"))
-    corners = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)))).alias("c")
+    known = plan.where(F.col("status") == "corrected").select("image_id", "k1", "k2", "k3")
+    p = pixels.join(known.hint("shuffle_hash"), "image_id").select("image_id", "row", "col", (y * factor + half_r).alias("sy"), (x * factor + half_c).alias("sx"), *values)
+    # A pixel stands for itself and for the four places that it is taken from; those of one place meet in a window, so that
+    # pixels are not joined with pixels.
     fy, fx = F.col("sy") - F.floor("sy"), F.col("sx") - F.floor("sx")
-    weight = F.when(F.col("c.a") == 1, fy).otherwise(1 - fy) * F.when(F.col("c.b") == 1, fx).otherwise(1 - fx)
-    taps = p.select("*", corners).select("image_id", "row", "col", weight.alias("weight"), (F.floor("sy") + F.col("c.a")).alias("qr"), (F.floor("sx") + F.col("c.b")).alias("qc")).where("weight > 0")
-    source = pixels.select("image_id", F.col("row").cast("long").alias("qr"), F.col("col").cast("long").alias("qc"), *values)
-    hit = taps.join(source, ["image_id", "qr", "qc"], "left")
+    entry = lambda own, weight, r, c: F.struct(F.lit(own).alias("own"), weight.cast("double").alias("weight"), r.cast("long").alias("qr"), c.cast("long").alias("qc"))
+    taps = [entry(False, (fy if a else 1 - fy) * (fx if b else 1 - fx), F.floor("sy") + a, F.floor("sx") + b) for a in (0, 1) for b in (0, 1)]
+    entries = p.withColumn("e", F.explode(F.array(entry(True, F.lit(1.0), F.col("row"), F.col("col")), *taps))).where("e.weight > 0")
+    place = Window.partitionBy("image_id", "e.qr", "e.qc")
+    hit = entries.select("image_id", "row", "col", "e.own", "e.weight", *(F.sum(F.when(F.col("e.own"), F.col(v))).over(place).alias(v) for v in values)).where("not own")
     return hit.groupBy("image_id", "row", "col").agg(*(F.coalesce(F.sum(F.col("weight") * F.col(v)), F.lit(0.0)).alias(v) for v in values))

@@ -1,7 +1,11 @@
 """What keeps the work of a query in proportion to its input: plans without joins of pixels, blocks of bounded size."""
 
+import math
 import re
 
+import pytest
+
+from annogrid.operators import lens
 from annogrid.plans import catalog
 
 DATA = "/root/testdata/sf0.1"
@@ -26,3 +30,24 @@ def test_percentile_normalised_broadcasts_no_pixels(spark):
     text = plan(catalog.QUERIES["percentile_normalised"](spark, DATA))
     assert "Broadcast" not in text and "SortMergeJoin" not in text
     assert set(exchanges(text)) == {"Exchange hashpartitioning"} and text.count("REPARTITION_BY_NUM") == len(exchanges(text))
+
+
+def test_lens_remapped_joins_images_only(spark):
+    text = plan(catalog.QUERIES["lens_remapped"](spark, DATA))
+    joins = [line for line in text.split("\n") if re.search(r"Join \[", line)]
+    assert joins and not any("qr#" in line for line in joins)
+
+
+def test_remap_takes_missing_pixels_as_nothing(spark):
+    """One image of 3 x 3 without its middle, drawn outwards by a half of its radius: corners come from outside."""
+    rows = [(7, r, c, 3, 3, float(10 * r + c)) for r in range(3) for c in range(3) if (r, c) != (1, 1)]
+    pixels = spark.createDataFrame(rows, "image_id long, row int, col int, rows int, cols int, g double")
+    profile = spark.createDataFrame([(7, "corrected", 0.5, 0.0, 0.0), (8, "corrected", 0.0, 0.0, 0.0)], "image_id long, status string, k1 double, k2 double, k3 double")
+    found = {(r["row"], r["col"]): r["g"] for r in lens.remapped(pixels, profile, ["g"]).collect()}
+    source = {(r, c): v for _, r, c, _, _, v in rows}
+    for (r, c), v in found.items():
+        f = 1 + 0.5 * ((r - 1) ** 2 + (c - 1) ** 2) / 2
+        y, x = (r - 1) * f + 1, (c - 1) * f + 1
+        m, n = math.floor(y), math.floor(x)
+        assert v == pytest.approx(sum((1 - abs(y - m - a)) * (1 - abs(x - n - b)) * source.get((m + a, n + b), 0.0) for a in (0, 1) for b in (0, 1)))
+    assert found.keys() == source.keys()
