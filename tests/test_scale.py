@@ -51,3 +51,9 @@ def test_remap_takes_missing_pixels_as_nothing(spark):
         m, n = math.floor(y), math.floor(x)
         assert v == pytest.approx(sum((1 - abs(y - m - a)) * (1 - abs(x - n - b)) * source.get((m + a, n + b), 0.0) for a in (0, 1) for b in (0, 1)))
     assert found.keys() == source.keys()
+
+
+def test_ca_corrected_moves_no_pixels(spark):
+    text = plan(catalog.QUERIES["ca_corrected"](spark, DATA))
+    assert "Join" not in text
+    assert exchanges(text) == ["Exchange hashpartitioning"]
