@@ -54,11 +54,14 @@ def moved_keypoints(flat: Column, width: Column, height: Column) -> Column:
     return F.when(F.size(flat) % 3 != 0, wrong).when(F.size(flat) == 0, flat).otherwise(triples)
 
 
-def match_by_name(images: DataFrame, corrected: DataFrame) -> DataFrame:
-    """Images with the corrected file of the same base name (of several, the last path)."""
+def match_by_name(images: DataFrame, corrected: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """Images with the corrected file of the same base name (of several, the last path).
+
+    Columns `within` of both tables tell apart images that share a base name: only files with their values count.
+    """
     base = lambda c: F.element_at(F.split(c, "/"), -1)
-    files = corrected.groupBy(base(F.col("path")).alias("_base")).agg(F.max("path").alias("corrected_path"))
-    return images.withColumn("_base", base(F.col("file_name"))).join(files, "_base").drop("_base")
+    files = corrected.groupBy(*within, base(F.col("path")).alias("_base")).agg(F.max("path").alias("corrected_path"))
+    return images.withColumn("_base", base(F.col("file_name"))).join(files, [*within, "_base"]).drop("_base")
 
 
 def estimate(pairs: DataFrame, threshold: float = 5.0, confidence: float = 0.99, rounds: int = 2000, seed: int = 0) -> DataFrame:

@@ -57,3 +57,11 @@ def test_ca_corrected_moves_no_pixels(spark):
     text = plan(catalog.QUERIES["ca_corrected"](spark, DATA))
     assert "Join" not in text
     assert exchanges(text) == ["Exchange hashpartitioning"]
+
+
+def test_matched_files_beyond_five_digits(spark, tmp_path):
+    """Names are cut to five digits: 10000, 100002, 100003 and 100009 share theirs, and 100002 has no file."""
+    ids = [5, 6, 10000, 100002, 100003, 100009]
+    spark.createDataFrame([(i, i) for i in ids], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = sorted(tuple(r) for r in catalog.QUERIES["matched_files"](spark, str(tmp_path)).collect())
+    assert found == [(5, "b/image_00005.jpg"), (10000, "b/image_10000.jpg"), (100003, "b/image_10000.jpg"), (100009, "b/image_10000.jpg")]
