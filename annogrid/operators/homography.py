@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MATRIX = [f"h{r}{c}" for r in range(3) for c in range(3)]
@@ -64,61 +64,147 @@ def match_by_name(images: DataFrame, corrected: DataFrame, within: tuple[str, ..
     return images.withColumn("_base", base(F.col("file_name"))).join(files, [*within, "_base"]).drop("_base")
 
 
+def _framed(z: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points (image, point, xy) about the middle of the used ones, at a mean distance of the root of 2; the middles and scales."""
+    n = np.maximum(used.sum(axis=1), 1)
+    centre = np.where(used[..., None], z, 0.0).sum(axis=1) / n[:, None]
+    moved_ = z - centre[:, None]
+    scale = np.sqrt(2) / np.maximum(np.where(used, np.hypot(moved_[..., 0], moved_[..., 1]), 0.0).sum(axis=1) / n, 1e-12)
+    return moved_ * scale[:, None, None], centre, scale
+
+
+def _unframed(h: np.ndarray, p: tuple, q: tuple) -> np.ndarray:
+    """Homographies (image, 3, 3) between framed points as those between the points, their last entry 1; NaN where it can't be."""
+    (_, pc, ps), (_, qc, qs) = p, q
+    t, s = np.zeros_like(h), np.zeros_like(h)
+    t[:, 0, 0] = t[:, 1, 1] = ps
+    t[:, :2, 2] = -ps[:, None] * pc
+    s[:, 0, 0] = s[:, 1, 1] = 1 / qs
+    s[:, :2, 2] = qc
+    t[:, 2, 2] = s[:, 2, 2] = 1
+    out = s @ (h / np.linalg.norm(h, axis=(1, 2), keepdims=True)) @ t
+    last = out[:, 2:, 2:]
+    return np.where(np.abs(last) < 1e-12, np.nan, out / np.where(last == 0, 1, last))
+
+
+def _through_four(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The homography of each sample of four points (xy, point, image, sample), in closed form, as (image, column, row, sample)."""
+
+    def turn(z, i, j, k):  # twice the area of a triangle
+        return (z[0][j] - z[0][i]) * (z[1][k] - z[1][i]) - (z[0][k] - z[0][i]) * (z[1][j] - z[1][i])
+
+    (x, y), out = p, np.zeros((p.shape[2], 3, 3, p.shape[3]))
+    of = [turn(p, 3, 1, 2), turn(p, 0, 3, 2), turn(p, 0, 1, 3)]  # the fourth point's coordinates in the other three
+    to = [turn(q, 3, 1, 2), turn(q, 0, 3, 2), turn(q, 0, 1, 3)]
+    for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):
+        weight = to[i] * of[j] * of[k]
+        for c, side in enumerate((y[j] - y[k], x[k] - x[j], x[j] * y[k] - x[k] * y[j])):
+            side = side * weight
+            out[:, c, 0] += side * q[0][i]
+            out[:, c, 1] += side * q[1][i]
+            out[:, c, 2] += side
+    return out
+
+
+def _fitted(p: np.ndarray, q: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The homography of least squares through the used points of each image (image, point, xy)."""
+    frames = _framed(p, used), _framed(q, used)
+    a, b = (np.where(used[..., None], f[0], 0.0) for f in frames)
+    left = np.concatenate([a, used[..., None].astype(float)], axis=2)  # points not used are rows of zeros
+    zero = np.zeros_like(left)
+    rows = np.concatenate([np.concatenate([left, zero, -b[..., :1] * left], axis=2), np.concatenate([zero, left, -b[..., 1:] * left], axis=2)], axis=1)
+    # The last right vector; eight equations have it only in the full decomposition.
+    least = np.linalg.svd(rows, full_matrices=rows.shape[1] < 9)[2][:, -1].reshape(-1, 3, 3)
+    return _unframed(least, *frames)
+
+
+#: Residuals of framed points below which a fit by least squares is the sample's own homography.
+_EXACT = 1e-12
+
+
+def _consensus(p: np.ndarray, q: np.ndarray, threshold: float, confidence: float, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Homographies and numbers of inliers of images (image, point, xy) with one number of points."""
+    m, n = p.shape[:2]
+    h, best = np.full((m, 3, 3), np.nan), np.zeros((m, n), bool)
+    if n < 4:
+        return h, best.sum(axis=1)
+    finite = np.isfinite(p).all(axis=2) & np.isfinite(q).all(axis=2)
+    a, b = _framed(p, finite), _framed(q, finite)
+    near = (threshold * b[2]) ** 2
+    wide = np.concatenate([a[0], np.ones((m, n, 1))], axis=2)
+    sample, off = np.zeros((m, 3, 3)), np.full(m, np.inf)
+    rng, k, need = np.random.default_rng(seed), 0, np.full(m, rounds if n > 4 else 1)
+    while len(live := np.flatnonzero(need > k)):
+        size = min(max(1, min(32, (1 << 20) // n)), int(need[live].max()) - k)  # samples at once, the same for all images
+        pick = rng.random((size, n)).argpartition(3, axis=1)[:, :4].T if n > 4 else np.arange(4)[:, None]
+        k += size
+        for at in np.array_split(live, -(-len(live) * n * size // (1 << 16))):  # so many that arrays stay small
+            four = [np.ascontiguousarray(z[0][at][:, pick].transpose(3, 1, 0, 2)) for z in (a, b)]
+            found = _through_four(*four)
+            z = (wide[at] @ found.reshape(len(at), 3, -1)).reshape(len(at), n, 3, size)
+            d = (z[:, :, 0] / z[:, :, 2] - b[0][at, :, :1]) ** 2
+            d += (z[:, :, 1] / z[:, :, 2] - b[0][at, :, 1:]) ** 2
+            good = d < near[at, None, None]
+            count = good.sum(axis=1)
+            first = count.argmax(axis=1)
+            better = np.flatnonzero(count.max(axis=1) > best[at].sum(axis=1))
+            who, which = at[better], first[better]
+            best[who] = good[better, :, which]
+            sample[who] = found[better, :, :, which].swapaxes(1, 2)
+            off[who] = np.where(best[who], d[better, :, which], 0.0).max(axis=1)
+            share = best[who].mean(axis=1) ** 4
+            more = np.ceil(np.log(1 - confidence) / np.log(np.maximum(1 - share, 1e-12))).astype(np.int64) + 1
+            need[who] = np.where(share < 1, np.minimum(rounds, more), k) if n > 4 else k
+    inliers = best.sum(axis=1)
+    exact = np.flatnonzero((inliers >= 4) & (off < _EXACT**2))
+    h[exact] = _unframed(sample[exact], *(tuple(x[exact] for x in z) for z in (a, b)))
+    rest = np.flatnonzero((inliers >= 4) & ~(off < _EXACT**2))
+    for at in np.array_split(rest, max(1, -(-len(rest) * n // (1 << 16)))):
+        if len(at):
+            h[at] = _fitted(np.where(finite[at][..., None], p[at], 0.0), np.where(finite[at][..., None], q[at], 0.0), best[at])
+    return h, inliers
+
+
 def estimate(pairs: DataFrame, threshold: float = 5.0, confidence: float = 0.99, rounds: int = 2000, seed: int = 0) -> DataFrame:
-    """A homography for each image_id from (image_id, x, y, u, v), by random samples of four and a fit to the inliers."""
-
-    def solve(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """A homography for each sample of points (sample, point, xy); one without a finite answer is all NaN."""
-
-        def normal(z):
-            centre = z.mean(axis=1)
-            scale = np.sqrt(2) / np.maximum(np.linalg.norm(z - centre[:, None], axis=2).mean(axis=1), 1e-12)
-            t = np.zeros((len(z), 3, 3))
-            t[:, 0, 0] = t[:, 1, 1] = scale
-            t[:, :2, 2] = -scale[:, None] * centre
-            t[:, 2, 2] = 1
-            return t
-
-        t, s = normal(p), normal(q)
-        a, b = (z @ m[:, :2, :2].swapaxes(1, 2) + m[:, None, :2, 2] for z, m in ((p, t), (q, s)))
-        left = np.concatenate([a, np.ones((*a.shape[:2], 1))], axis=2)
-        zero = np.zeros_like(left)
-        rows = np.concatenate([np.concatenate([left, zero, -b[..., :1] * left], axis=2), np.concatenate([zero, left, -b[..., 1:] * left], axis=2)], axis=1)
-        # The last right vector; eight equations have it only in the full decomposition.
-        least = np.linalg.svd(rows, full_matrices=rows.shape[1] < 9)[2][:, -1].reshape(-1, 3, 3)
-        h = np.linalg.inv(s) @ least @ t
-        scale = h[:, 2:, 2:]
-        return np.where(np.abs(scale) < 1e-12, np.nan, h / np.where(scale == 0, 1, scale))
-
-    def off(h: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Distances (sample, point) between the points' places and where they should be."""
-        z = np.column_stack([p, np.ones(len(p))]) @ h.swapaxes(1, 2)
-        with np.errstate(all="ignore"):
-            d = np.linalg.norm(z[..., :2] / z[..., 2:] - q, axis=2)
-        return np.where(np.isfinite(d), d, np.inf)
-
-    def run(table: pa.Table) -> pa.Table:
-        p, q = (np.column_stack([table.column(c).to_numpy() for c in names]) for names in ("xy", "uv"))
-        rng, best, need, n = np.random.default_rng(seed), np.zeros(len(p), bool), rounds, len(p)
-        k = 0
-        while n >= 4 and k < need:
-            size = min(max(1, min(32, (1 << 20) // n)), need - k)  # samples at once
-            pick = rng.random((size, n)).argpartition(3, axis=1)[:, :4] if n > 4 else np.tile(np.arange(4), (size, 1))
-            good = off(solve(p[pick], q[pick]), p, q) < threshold
-            k += size
-            found = good.sum(axis=1)
-            first = int(found.argmax())
-            if found[first] > best.sum():
-                best = good[first]
-                share = best.mean() ** 4
-                need = min(rounds, int(np.ceil(np.log(1 - confidence) / np.log(max(1 - share, 1e-12)))) + 1) if share < 1 else k
-        h = solve(p[None, best], q[None, best])[0] if best.sum() >= 4 else np.full((3, 3), np.nan)
-        flat = [None] * 9 if np.isnan(h).any() else h.ravel().tolist()
-        columns = {"image_id": [table.column("image_id")[0].as_py()], "inliers": [int(best.sum())]} | {m: [v] for m, v in zip(MATRIX, flat, strict=True)}
-        return pa.table({k: pa.array(v, pa.float64() if k in MATRIX else pa.int64()) for k, v in columns.items()})
+    """A homography for each image_id from (image_id, x, y, u, v), by random samples of four and a fit to the inliers.
 
+    Images with one number of points are solved together, as many as a batch of rows has.
+    """
+
+    def solved(table: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        x = np.column_stack([table.column(c).to_numpy().astype(float) for c in "xyuv"])
+        h, inliers = np.full((len(starts), 9), np.nan), np.zeros(len(starts), np.int64)
+        with np.errstate(all="ignore"):
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                points = x[starts[at][:, None] + np.arange(n)]
+                found, inliers[at] = _consensus(points[..., :2], points[..., 2:], threshold, confidence, rounds, seed)
+                h[at] = found.reshape(-1, 9)
+        bad = np.isnan(h).any(axis=1)
+        ids = table.column("image_id").take(pa.array(starts)).combine_chunks()
+        return pa.RecordBatch.from_arrays([ids, pa.array(inliers), *(pa.array(h[:, k], mask=bad) for k in range(9))], ["image_id", "inliers", *MATRIX])
+
+    def run(batches):
+        """Rows of an image follow each other, also across batches."""
+        held, rows = [], 0
+        for batch in (b for b in batches if b.num_rows):
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < held[0].column("n")[0].as_py():
+                continue
+            table = pa.Table.from_batches(held)
+            counts, starts, at = table.column("n").to_numpy(), [], 0
+            while at < rows and at + counts[at] <= rows:
+                starts.append(at)
+                at += int(counts[at])
+            yield solved(table, np.array(starts), counts[starts])
+            held, rows = (table.slice(at).to_batches(), rows - at) if at < rows else ([], 0)
+
+    image = Window.partitionBy("image_id")
     plain = pairs.select(F.col("image_id").cast("long").alias("image_id"), *(F.col(c).cast("double").alias(c) for c in "xyuv"))
-    return plain.groupBy("image_id").applyInArrow(run, "image_id long, inliers long, " + ", ".join(f"{m} double" for m in MATRIX))
+    # The window lays the rows of an image together; it moves none that already lie with their image.
+    counted = plain.withColumn("n", F.count(F.lit(1)).over(image))
+    return counted.mapInArrow(run, "image_id long, inliers long, " + ", ".join(f"{m} double" for m in MATRIX))
 
 
 def transform_annotations(annotations: DataFrame, images: DataFrame, corrected: DataFrame, matrices: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,9 +3,10 @@
 import math
 import re
 
+import numpy as np
 import pytest
 
-from annogrid.operators import lens
+from annogrid.operators import homography, lens
 from annogrid.plans import catalog
 
 DATA = "/root/testdata/sf0.1"
@@ -65,3 +66,41 @@ def test_matched_files_beyond_five_digits(spark, tmp_path):
     spark.createDataFrame([(i, i) for i in ids], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     found = sorted(tuple(r) for r in catalog.QUERIES["matched_files"](spark, str(tmp_path)).collect())
     assert found == [(5, "b/image_00005.jpg"), (10000, "b/image_10000.jpg"), (100003, "b/image_10000.jpg"), (100009, "b/image_10000.jpg")]
+
+
+def test_homographies_are_not_solved_group_by_group(spark):
+    text = plan(catalog.QUERIES["homography_estimated"](spark, DATA))
+    assert "GroupsInArrow" not in text
+    assert exchanges(text) == ["Exchange hashpartitioning"] and text.rindex("Generate") < text.index("Exchange ")
+
+
+def test_homographies_of_images_cut_by_batches(spark):
+    """Images of 3 to 40 points, some exact and some with noise, in batches of 7 rows: each as if it were alone."""
+    rng, rows, truth = np.random.default_rng(3), [], {}
+    for i in range(24):
+        n = [3, 4, 9, 9, 12, 40][i % 6]
+        h = np.array([[1 + i / 50, 0.02, 5 - i], [0.01, 0.95, -3], [1e-4, 2e-5, 1]])
+        p = rng.uniform(0, 500, (n, 2))
+        z = np.column_stack([p, np.ones(n)]) @ h.T
+        q = z[:, :2] / z[:, 2:] + (rng.normal(0, 0.2, (n, 2)) if i % 4 == 3 else 0)
+        q[: n // 8] += 90
+        truth[i] = (n, n - n // 8, h, i % 4 == 3)
+        rows += [(i, *map(float, a), *map(float, b)) for a, b in zip(p, q, strict=True)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        found = homography.estimate(spark.createDataFrame(rows, "image_id long, x double, y double, u double, v double"), confidence=1 - 1e-9).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(r.image_id for r in found) == sorted(truth)
+    for r in found:
+        n, inliers, h, noisy = truth[r.image_id]
+        got = [r[m] for m in homography.MATRIX]
+        if n < 4:
+            assert got == [None] * 9 and r.inliers == 0
+            continue
+        assert r.inliers == inliers
+        p = np.array([x[1:3] for x in rows if x[0] == r.image_id])
+        place = lambda m: (lambda z: z[:, :2] / z[:, 2:])(np.column_stack([p, np.ones(n)]) @ np.reshape(m, (3, 3)).T)  # noqa: B023, E731
+        assert np.abs(place(got) - place(h)).max() < (3 if noisy else 1e-8)
