@@ -291,53 +291,129 @@ def binned_mutual_information(points: DataFrame, bins: int = 10, digits: int = 6
     return parts.groupBy("feature").agg(F.round(F.sum("i"), digits).alias("value"))
 
 
-#: Points that Ward linkage takes: memory is that of the points, time grows with the square of their number.
+#: Points up to which the model search tries Ward linkage, whose time grows with the square of their number.
 WARD_POINTS = 60_000
 
 
-def ward_labels(points: DataFrame, k: int, most: int = WARD_POINTS) -> DataFrame:
-    """Agglomerative clusters by Ward's criterion, in one task; more than `most` points raise an error.
+def _ward_nearest(rows, mean, size):
+    """The nearest cluster by Ward's criterion for each of some rows of all clusters, ties to the first, and at what distance."""
+    import numpy as np
+
+    middle = np.average(mean, axis=0, weights=size)
+    m, one = mean - middle, np.ones((len(mean), 1))
+    square = (m * m).sum(axis=1, keepdims=True)
+    right = np.concatenate([m, one, square], axis=1)  # the product of left and right is the squared distance
+    left, inverse, single = np.concatenate([-2 * m[rows], square[rows], one[rows]], axis=1), 1 / size, bool((size == size[0]).all())
+    at = np.zeros(len(rows), np.int64)
+    for k in range(0, len(rows), 256):
+        own = rows[k : k + 256]
+        far, best = np.full(len(own), np.inf), np.zeros(len(own), np.int64)
+        for c in range(0, len(mean), 2048):
+            d = left[k : k + 256] @ right[c : c + 2048].T
+            if not single:
+                d /= inverse[own, None] + inverse[c : c + 2048]
+            inside = np.flatnonzero((own >= c) & (own < c + 2048))
+            d[inside, own[inside] - c] = np.inf
+            j = d.argmin(axis=1)
+            value = d[np.arange(len(own)), j]
+            nearer = value < far
+            far[nearer], best[nearer] = value[nearer], j[nearer] + c
+        at[k : k + 256] = best
+    height = ((mean[at] - mean[rows]) ** 2).sum(axis=1) * (size[at] * size[rows] / (size[at] + size[rows]))
+    return at, height
+
+
+def _ward_chains(mean, size, point):
+    """All merges of clusters (mean, size, a point of each) by chains of nearest neighbours: pairs of points, distances."""
+    import numpy as np
+
+    n = len(mean)
+    mean, size, live = mean.copy(), size.copy(), np.ones(n, bool)
+    chain, pairs, heights = [], np.zeros((max(0, n - 1), 2), np.int64), np.zeros(max(0, n - 1))
+    for step in range(n - 1):
+        if not chain:
+            chain.append(int(np.argmax(live)))
+        while True:
+            i = chain[-1]
+            d = ((mean - mean[i]) ** 2).sum(axis=1) * (size * size[i] / (size + size[i]))
+            d[~live] = np.inf
+            d[i] = np.inf
+            j = int(d.argmin())
+            if len(chain) > 1 and d[chain[-2]] <= d[j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        chain = chain[:-2]
+        low, high = min(i, j), max(i, j)
+        pairs[step], heights[step] = (point[low], point[high]), d[j]
+        mean[low] = (mean[low] * size[low] + mean[high] * size[high]) / (size[low] + size[high])
+        size[low] += size[high]
+        live[high] = False
+    return pairs, heights
+
+
+def _ward_merges(x):
+    """Pairs of points whose clusters are merged, and at what distance, in any order that keeps equal distances' first ones first.
+
+    Equal points are merged first. Then, in rounds, all clusters that are each other's nearest; only clusters that were merged,
+    or whose nearest was, are asked again. Where few of those asked are merged, as among many equal distances, chains do the rest.
+    """
+    import numpy as np
 
-    Chains of nearest neighbours give the merges: clusters that are each other's nearest can be merged at once, as no later
-    merge comes between them. A cluster is its size and mean, so that no matrix of distances is kept. The merges of least
-    distance, all but the last k - 1, make the clusters; labels count them by their smallest id.
+    _, first, which, size = np.unique(x + 0.0, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    which = which.ravel()
+    copies = np.flatnonzero(first[which] != np.arange(len(x)))
+    pairs, heights = [np.column_stack([first[which[copies]], copies])], [np.zeros(len(copies))]
+    order = np.argsort(first)
+    point, size = first[order], size[order].astype(float)
+    mean = x[point].astype(float)
+    nearest, height, asked = np.zeros(len(point), np.int64), np.zeros(len(point)), np.ones(len(point), bool)
+    while len(mean) > 1:
+        rows = np.flatnonzero(asked)
+        nearest[rows], height[rows] = _ward_nearest(rows, mean, size)
+        every = np.arange(len(mean))
+        a = np.flatnonzero((nearest[nearest] == every) & (every < nearest))
+        b = nearest[a]
+        if len(a) * 32 < len(rows):
+            break
+        pairs.append(np.column_stack([point[a], point[b]]))
+        heights.append(height[a])
+        mean[a] = (mean[a] * size[a, None] + mean[b] * size[b, None]) / (size[a] + size[b])[:, None]
+        size[a] += size[b]
+        touched, kept = np.zeros(len(mean), bool), np.ones(len(mean), bool)
+        touched[a] = touched[b] = True
+        kept[b] = False
+        asked = (touched | touched[nearest])[kept]
+        nearest = (np.cumsum(kept) - 1)[nearest][kept]
+        mean, size, point, height = mean[kept], size[kept], point[kept], height[kept]
+    if len(mean) > 1:
+        more = _ward_chains(mean, size, point)
+        pairs.append(more[0])
+        heights.append(more[1])
+    return np.concatenate(pairs), np.concatenate(heights)
+
+
+def ward_labels(points: DataFrame, k: int, most: int | None = None) -> DataFrame:
+    """Agglomerative clusters by Ward's criterion, in one task; a number of points over `most`, if given, raises an error.
+
+    Clusters that are each other's nearest can be merged at once, as no later merge comes between them. A cluster is its size
+    and mean, so that no matrix of distances is kept. The merges of least distance, all but the last k - 1, make the clusters;
+    labels count them by their smallest id.
     """
     import numpy as np
     import pyarrow as pa
 
-    if points.limit(most + 1).count() > most:
-        raise ValueError(f"Ward linkage takes at most {most} points; use kmeans_labels or dbscan for more")
-
-    def merges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of points whose clusters are merged, and at what distance."""
-        n = len(x)
-        mean, size, live = x.copy(), np.ones(n), np.ones(n, bool)
-        chain, pairs, heights = [], np.zeros((max(0, n - 1), 2), np.int64), np.zeros(max(0, n - 1))
-        for step in range(n - 1):
-            if not chain:
-                chain.append(int(np.argmax(live)))
-            while True:
-                i = chain[-1]
-                d = ((mean - mean[i]) ** 2).sum(axis=1) * (size * size[i] / (size + size[i]))
-                d[~live] = np.inf
-                d[i] = np.inf
-                j = int(d.argmin())
-                if len(chain) > 1 and d[chain[-2]] <= d[j]:
-                    j = chain[-2]
-                    break
-                chain.append(j)
-            chain = chain[:-2]
-            low, high = min(i, j), max(i, j)
-            pairs[step], heights[step] = (low, high), d[j]
-            mean[low] = (mean[low] * size[low] + mean[high] * size[high]) / (size[low] + size[high])
-            size[low] += size[high]
-            live[high] = False
-        return pairs, heights
+    if most is not None and points.limit(most + 1).count() > most:
+        raise ValueError(f"Ward linkage takes at most {most} points here; use kmeans_labels or dbscan for more")
 
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("id").to_numpy(), kind="stable")
-        ids, x = table.column("id").to_numpy()[order], np.array(table.column("v").to_pylist(), float)[order]
-        pairs, heights = merges(x)
+        ids, v = table.column("id").to_numpy(), table.column("v").combine_chunks()
+        order = np.argsort(ids, kind="stable")
+        sizes = np.unique(v.value_lengths().to_numpy(zero_copy_only=False))
+        if len(sizes) > 1:
+            raise ValueError("points of several lengths")
+        ids, x = ids[order], v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order]
+        pairs, heights = _ward_merges(x)
         root = np.arange(len(x))
 
         def top(i: int) -> int:
@@ -352,7 +428,7 @@ def ward_labels(points: DataFrame, k: int, most: int = WARD_POINTS) -> DataFrame
         label = np.array([top(i) for i in range(len(x))], np.int64)
         return pa.table({"id": pa.array(ids, pa.int64()), "label": pa.array(np.unique(label, return_inverse=True)[1].astype(np.int32))})
 
-    one = points.select(F.col("id").cast("long").alias("id"), "v").withColumn("_g", F.lit(0))
+    one = points.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).withColumn("_g", F.lit(0))
     return one.groupBy("_g").applyInArrow(lambda t: run(t.select(["id", "v"])), "id long, label int")
 
 

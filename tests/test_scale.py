@@ -5,8 +5,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from annogrid.operators import homography, lens
+from annogrid.operators import clusters, homography, lens
 from annogrid.plans import catalog
 
 DATA = "/root/testdata/sf0.1"
@@ -104,3 +105,23 @@ def test_homographies_of_images_cut_by_batches(spark):
         p = np.array([x[1:3] for x in rows if x[0] == r.image_id])
         place = lambda m: (lambda z: z[:, :2] / z[:, 2:])(np.column_stack([p, np.ones(n)]) @ np.reshape(m, (3, 3)).T)  # noqa: B023, E731
         assert np.abs(place(got) - place(h)).max() < (3 if noisy else 1e-8)
+
+
+def test_ward_takes_all_points(spark):
+    """More than 60000 points, 601 of them distinct, about three places."""
+    n = 60_100
+    p = spark.range(n).select("id", F.array((F.col("id") % 3 * 100 + F.col("id") % 601 % 29).cast("double"), (F.col("id") % 601).cast("double") / 100).alias("v"))
+    groups = {(r.place, r.label): r.n for r in clusters.ward_labels(p, 3).groupBy((F.col("id") % 3).alias("place"), "label").agg(F.count("id").alias("n")).collect()}
+    assert {k[0] for k in groups} == {0, 1, 2} and len(groups) == 3 and sum(groups.values()) == n
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_ward_rounds_make_the_merges_of_chains(copies):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (300, 4)) + rng.integers(0, 4, (300, 1)) * 3
+    if copies:
+        x[150:] = x[rng.integers(0, 150, 150)]
+    for y in (x, np.eye(60)):  # a unit matrix has equal distances only
+        (pairs, heights), (chains, wanted) = clusters._ward_merges(y), clusters._ward_chains(y, np.ones(len(y)), np.arange(len(y)))
+        assert len(pairs) == len(y) - 1 and np.allclose(np.sort(heights), np.sort(wanted))
+    assert len({i for i in pairs.ravel()}) == 60
