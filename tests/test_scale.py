@@ -125,3 +125,25 @@ def test_ward_rounds_make_the_merges_of_chains(copies):
         (pairs, heights), (chains, wanted) = clusters._ward_merges(y), clusters._ward_chains(y, np.ones(len(y)), np.arange(len(y)))
         assert len(pairs) == len(y) - 1 and np.allclose(np.sort(heights), np.sort(wanted))
     assert len({i for i in pairs.ravel()}) == 60
+
+
+def test_silhouettes_of_labellings_at_once(spark):
+    """Three labellings, one with a cluster of one and one with an empty one, copies among the points: as one by one."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (90, 3)) + rng.integers(0, 3, (90, 1)) * 4 + 1000
+    x[60:80] = x[:20]
+    labels = np.column_stack([np.arange(90) % 2, np.where(np.arange(90) == 7, 2, x[:, 0] > 1003), np.where(x[:, 1] > 1003, 3, 0)])
+    rows = [(i, v.tolist(), [int(k) for k in a]) for i, (v, a) in enumerate(zip(x, labels, strict=True))]
+    p = spark.createDataFrame(rows, "id long, v array<double>, labels array<int>")
+    for blocks in (1, 5):
+        got = {r["at"]: r["silhouette"] for r in clusters._mean_silhouettes(p, [2, 3, 4], blocks).collect()}
+        for at in range(3):
+            alone = clusters.silhouette(p.select("id", "v", F.get("labels", F.lit(at)).alias("label"))).agg(F.round(F.avg("silhouette"), 6)).first()[0]
+            assert got[at] == pytest.approx(alone, abs=1.5e-6)
+
+
+def test_best_k_deals_points_out_once(spark, monkeypatch):
+    """A point goes to a cell for each block, whatever the number of labellings."""
+    p = spark.createDataFrame([(i, [float(i % 4) * 10, i % 5 * 0.01]) for i in range(40)], "id long, v array<double>")
+    text = plan(clusters.best_k(p, range(2, 5), starts=1))
+    assert len(re.findall("Generate explode", text)) == 1 and "Union" not in text
