@@ -3,12 +3,14 @@
 import math
 import re
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from annogrid.operators import clusters, homography, lens
-from annogrid.plans import catalog
+from annogrid.operators import chroma, clusters, homography, lens
+from annogrid.plans import catalog, image_queries
 
 DATA = "/root/testdata/sf0.1"
 
@@ -61,6 +63,51 @@ def test_ca_corrected_moves_no_pixels(spark):
     assert exchanges(text) == ["Exchange hashpartitioning"]
 
 
+def test_ca_corrected_sorts_pixels_once(spark):
+    text = plan(catalog.QUERIES["ca_corrected"](spark, DATA))
+    assert len(re.findall(r"\bSort \[", text)) == 1 and len(re.findall(r"\bGenerate ", text)) == 1
+
+
+def test_ca_corrected_with_holes_is_its_sql(spark):
+    """One image lacks pixels, others have channels that are null, one is black, one is there twice, one has no id."""
+    rng = np.random.default_rng(1)
+    rows = [(i, r, c, *(int(v) for v in rng.integers(0, 256, 3) * (i != 3))) for i in range(5) for r in range(16) for c in range(16)]
+    rows = [x for k, x in enumerate(rows) if x[0] != 1 or (k % 7 and x[1] != 5)]
+    rows = [x if x[0] != 2 or k % 11 else (*x[:3], *((None, x[4], x[5]) if k % 2 else (x[3], x[4], None))) for k, x in enumerate(rows)]
+    rows += [x for x in rows if x[0] == 4]
+    p = spark.createDataFrame([*rows, *((None, *x[1:]) for x in rows if x[0] == 0)], "image_id long, row int, col int, b int, g int, r int")
+    found = image_queries.ca_corrected(p).toPandas().sort_values(["image_id", "row", "col"])
+    con = duckdb.connect()
+    con.execute('CREATE TABLE p (image_id BIGINT, "row" INT, col INT, b INT, g INT, r INT)')
+    con.executemany("INSERT INTO p VALUES (?, ?, ?, ?, ?, ?)", [tuple(r) for r in p.collect()])
+    body = catalog.ORACLES["ca_corrected"].replace(image_queries._PIXELS, "pixels AS (SELECT * FROM p)")
+    wanted = con.execute(f"SELECT * FROM ({body}) ORDER BY 1, 2, 3").df()
+    assert len(found) == len(rows) and found["c0"].isna().sum() == sum(x[5] is None for x in rows) > 0
+    assert np.allclose(found.to_numpy(float), wanted.to_numpy(float), atol=1.1e-3, equal_nan=True)
+
+
+@pytest.mark.parametrize("refine", [True, False])
+def test_correction_of_images_cut_by_batches_and_strips(monkeypatch, refine):
+    """Images of several shapes, one with holes and one with a pixel twice, all in batches of 7 rows: each as if it were alone."""
+    rng, settings, images = np.random.default_rng(4), chroma.ChromaSettings(radius=2, refine=refine), []
+    for i, (h, w) in enumerate([(1, 1), (9, 4), (40, 5), (3, 30), (9, 4), (25, 8)]):
+        at = [(r, c) for r in range(h) for c in range(w) if i != 5 or (r * w + c) % 9]
+        at += at[3:4] * (i == 2)
+        values = rng.integers(0, 256, (h, w, 3)).astype(float)
+        images.append(pa.table({"image_id": [f"image {i}"] * len(at), "row": pa.array([r for r, _ in at], pa.int32()), "col": pa.array([c for _, c in at], pa.int32()), "rows": pa.array([h] * len(at), pa.int32()), "cols": pa.array([w] * len(at), pa.int32()), **{f"c{k}": [values[r, c, k] for r, c in at] for k in range(3)}, "n": [len(at)] * len(at)}))
+    order = [(c, "ascending") for c in ("image_id", "row", "col")]
+    run = lambda tables, size: pa.Table.from_batches(chroma.correct_batches((b for t in tables for b in t.to_batches(size)), settings)).sort_by(order)
+    alone = pa.concat_tables(run([t], 1000) for t in images)
+    for pixels, large in ((1 << 14, 1 << 18), (30, 1 << 18), (30, 100)):
+        monkeypatch.setattr(chroma, "PIXELS", pixels)
+        monkeypatch.setattr(chroma, "LARGE", large)
+        found = run([pa.concat_tables(images).combine_chunks()], 7)
+        assert found.select(["image_id", "row", "col"]).equals(alone.select(["image_id", "row", "col"])) and found.num_rows == sum(t.num_rows for t in images)
+        assert all(np.allclose(found.column(c).to_numpy(), alone.column(c).to_numpy(), rtol=0, atol=1e-9) for c in chroma.CHANNELS)
+    with pytest.raises(ValueError, match="outside"):
+        run([images[1].set_column(1, "row", pa.array([9] * 36, pa.int32()))], 1000)
+
+
 def test_matched_files_beyond_five_digits(spark, tmp_path):
     """Names are cut to five digits: 10000, 100002, 100003 and 100009 share theirs, and 100002 has no file."""
     ids = [5, 6, 10000, 100002, 100003, 100009]
