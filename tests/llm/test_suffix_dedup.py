@@ -84,3 +84,23 @@ def test_long_texts_and_empty_tables(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert rows(suffix_dedup.repeats(frame, 100)) == sorted(suffix_dedup.brute_force(docs, 100), key=str)
     assert rows(suffix_dedup.repeats(frame.limit(0), 100)) == []
+
+
+def test_covered_bytes_take_few_bytes_each():
+    """A worker held twenty bytes for each byte of its part here, most of what it held at once."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    size = 1 << 20
+    starts = np.sort(rng.integers(0, size - 100, 5000))
+    tracemalloc.start()
+    found = suffix_dedup._covered(size, [(starts, 100), (starts[::7], np.full(len(starts[::7]), 100))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 7 * size
+    plain = np.zeros(size, bool)
+    for a in starts.tolist():
+        plain[a : a + 100] = True
+    assert (found == plain).all()
