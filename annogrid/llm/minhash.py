@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annogrid.llm.common import map_batches, prepare, stage, texts_of
-from annogrid.llm.components import components
+from annogrid.llm.components import stars
 from annogrid.llm.suffix_dedup import _BYTE, _by_bucket, _gathered, _mixed, _pack, _power_tables, _unpack
 
 SKETCH, RUN, TINY = 48, 3, 8
@@ -41,7 +41,8 @@ SKETCH, RUN, TINY = 48, 3, 8
 PART_ROWS, LIST_BLOCK, BLOCK = 6000, 2048, 1 << 20
 #: The same for members and elements of one block of a cluster, and for elements of one verifying task.
 CLUSTER_ROWS, CLUSTER_ELEMENTS, TASK_ELEMENTS = 1024, 1 << 20, 1 << 21
-#: Documents asked for are broadcast up to this number of rows (about 64 MB); more are joined by a shuffle.
+#: Documents asked for, and those that hang on a smaller one, are broadcast up to this number of rows (about 64 MB); more are
+#: joined by a shuffle.
 BROADCAST_ROWS = 1_500_000
 _NONE = np.uint64((1 << 64) - 1)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -414,14 +415,19 @@ def _confirmed(docs: DataFrame, clusters: DataFrame, width: int, num: int, den:
     return sets.withColumn("bucket", F.pmod("cell", F.lit(buckets))).groupBy("bucket").applyInArrow(verify, "a long, b long")
 
 
-def _placed(reps: DataFrame, clusters: DataFrame) -> DataFrame:
+def _few(rows: DataFrame, number: int) -> DataFrame:
+    """Rows to be broadcast, unless they are too many."""
+    return F.broadcast(rows) if number <= BROADCAST_ROWS else rows
+
+
+def _placed(reps: DataFrame, hung: DataFrame, number: int) -> DataFrame:
     """The representatives with comp, their cluster's smallest member (themselves if they are alone)."""
-    found = clusters.withColumnRenamed("node", "rep")
-    return reps.join(found, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    found = _few(hung.select(F.col("u").alias("rep"), F.col("v").alias("comp")), number)
+    return reps.join(found, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row its id, n_shingles, component_id and kept; documents are linked if den * intersection >= num * union."""
+def _linked(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
+    """doc_id and n_shingles of each row; the ids that reach a smaller one (u) with the smallest (v), and their number."""
     spark = docs.sparkSession
     prepare(spark)
     t = num / den
@@ -434,18 +440,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     reps = reps.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int"))
     buckets = max(1, parts // 2)
     pairs = stage(_estimated(_leader_pairs(reps, buckets), reps, least, num, den))
-    placed = stage(_placed(reps, components(pairs)))
+    hung, number = stars(pairs)
+    placed = _placed(reps, hung, number)
+    placed = placed if number <= BROADCAST_ROWS else stage(placed)  # read twice: a broadcast is cheap, a shuffle is not
     more = stage(_across_pairs(placed, buckets, least, num, den))
-    placed = _placed(reps, components(pairs.unionByName(more))).select("rep", "n", "comp")
+    placed = _placed(reps, *stars(pairs.unionByName(more))).select("rep", "n", "comp")
     links = _confirmed(docs, placed, width, num, den, id_col, text_col)
     copies = real.join(reps.select("digest", "rep"), "digest").where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionByName(copies)).withColumnRenamed("node", "doc_id")
-    out = rows.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    return rows.select("doc_id", "n_shingles"), *stars(links.unionByName(copies))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row its id, n_shingles, component_id and kept; documents are linked if den * intersection >= num * union."""
+    rows, hung, number = _linked(docs, width, num, den, id_col, text_col)
+    found = _few(hung.select(F.col("u").alias("doc_id"), F.col("v").alias("component")), number)
+    out = rows.join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select(
         F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
 
 
+def without_near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that near_duplicates() keeps, with all their columns; they are not moved where the ids to drop can be broadcast."""
+    _, hung, number = _linked(docs, width, num, den, id_col, text_col)
+    gone = _few(hung.select(F.col("u").alias("_gone")), number)
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+
+
 def brute_force(docs: list[tuple], width: int, num: int, den: int) -> list[tuple]:
     """The contract's rows by comparing all pairs of texts; for tests, with distinct ids."""
     import re

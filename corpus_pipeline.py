@@ -25,9 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group whose shingles of five words are 0.8 alike: the one with the smallest id."""
-    found = minhash.near_duplicates(docs, width=5, num=80, den=100)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return minhash.without_near_duplicates(docs.select(*COLUMNS), width=5, num=80, den=100)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from annogrid.llm import components as star_rounds
 from annogrid.llm import minhash
 from annogrid.llm.components import components
 
@@ -111,3 +112,52 @@ def test_components(spark):
             parent[max(x, y)] = min(x, y)
     assert {(r.node, r.component) for r in components(frame).collect()} == {(i, root(i)) for i in list(parent)}
     assert components(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [minhash.BROADCAST_ROWS, 0])
+def test_rows_kept_are_not_moved(spark, monkeypatch, most):
+    """Whole rows were shuffled and sorted by their ids."""
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", most)
+    docs = made(7)
+    docs += [(None, docs[0][1]), docs[3]]
+    frame = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, other string")
+    out = minhash.without_near_duplicates(frame, 3, 85, 100)
+    ids = [d for d, _ in docs]
+    kept = {d for d, *_, k in minhash.brute_force(docs, 3, 85, 100) if k}
+    assert sorted((r.doc_id, r.text, r.other) for r in out.where("doc_id is not null").collect()) == sorted(((*d, "x") for d in docs if d[0] in kept - {None}), key=lambda r: r[0])
+    assert out.where("doc_id is null").count() == 1 and len(kept) < len(set(ids))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the table of ids is small enough here for any join
+    try:
+        plan = out.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("Exchange hashpartitioning" in plan) == (most == 0)
+
+
+def test_rounds_write_few_files(spark, monkeypatch):
+    """A round's edges, few as they are, were written as a file for each partition."""
+    files, put = [], spark.conf
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+    whole = star_rounds.stage
+
+    def counted(df):
+        out = whole(df)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(star_rounds, "stage", counted)
+    before = put.get("spark.sql.shuffle.partitions")
+    put.set("spark.sql.shuffle.partitions", "24")
+    put.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components(edges)
+        assert {(r.node, r.component) for r in found.collect()} == {(k, 0) for k in range(301)}
+        assert len(files) > 2 and max(files[1:]) == 1
+        files.clear()
+        monkeypatch.setattr(star_rounds, "FILE_ROWS", 100)
+        found = components(edges)
+        assert {(r.node, r.component) for r in found.collect()} == {(k, 0) for k in range(301)}
+        assert 1 < max(files[1:]) <= 6
+    finally:
+        put.set("spark.sql.shuffle.partitions", before)
+        put.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -94,3 +94,16 @@ def test_empty_tables(spark, folder, tmp_path):
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == 0 and "ids_sha256" in out.columns
+
+
+def test_near_dedup_does_not_move_texts(spark, folder):
+    """Texts were shuffled and sorted to drop a few ids."""
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the table of ids is small enough here for any join
+    try:
+        plan = out.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange hashpartitioning" not in plan and "LeftAnti" in plan
