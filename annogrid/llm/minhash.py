@@ -278,7 +278,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, least: float, num: int, den: i
         good = _near(_matrix(batch.column("s_a")), _matrix(batch.column("s_b")), *n, least, num / den)
         return batch.select(["a", "b"]).filter(pa.array(good))
 
-    return map_batches(both.select("a", "b", "n_a", "n_b", "s_a", "s_b"), run, "a long, b long").distinct()
+    return map_batches(both.select("a", "b", "n_a", "n_b", "s_a", "s_b"), run, "a long, b long")
 
 
 def _across_pairs(reps: DataFrame, buckets: int, least: float, num: int, den: int) -> DataFrame:
@@ -369,7 +369,7 @@ def _across_pairs(reps: DataFrame, buckets: int, least: float, num: int, den: in
     told = by_part.applyInArrow(describe, "bucket int, part int, blob binary").groupBy("bucket").applyInArrow(decide, "part int, blob binary")
     dealt = by_part.cogroup(told.groupBy("part")).applyInArrow(deal, "cell long, side int, rep long, n long, comp long, sketch binary")
     grouped = dealt.withColumn("bucket", F.pmod("cell", F.lit(buckets * 4)))
-    return grouped.groupBy("bucket").applyInArrow(compare, "a long, b long").distinct()
+    return grouped.groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 
 def _confirmed(docs: DataFrame, clusters: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -439,12 +439,11 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_c
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(reps.count() / PART_ROWS))
     reps = reps.withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int"))
     buckets = max(1, parts // 2)
-    pairs = stage(_estimated(_leader_pairs(reps, buckets), reps, least, num, den))
-    hung, number = stars(pairs)
+    hung, number = stars(_estimated(_leader_pairs(reps, buckets), reps, least, num, den))
     placed = _placed(reps, hung, number)
     placed = placed if number <= BROADCAST_ROWS else stage(placed)  # read twice: a broadcast is cheap, a shuffle is not
-    more = stage(_across_pairs(placed, buckets, least, num, den))
-    placed = _placed(reps, *stars(pairs.unionByName(more))).select("rep", "n", "comp")
+    more = _across_pairs(placed, buckets, least, num, den)
+    placed = _placed(reps, *stars(hung.toDF("a", "b").unionByName(more))).select("rep", "n", "comp")
     links = _confirmed(docs, placed, width, num, den, id_col, text_col)
     copies = real.join(reps.select("digest", "rep"), "digest").where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     return rows.select("doc_id", "n_shingles"), *stars(links.unionByName(copies))

@@ -161,3 +161,13 @@ def test_rounds_write_few_files(spark, monkeypatch):
     finally:
         put.set("spark.sql.shuffle.partitions", before)
         put.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_links_are_written_once(spark, monkeypatch):
+    """The pairs that an estimate lets pass were written, and written again as the first round's edges."""
+    names, whole = [], minhash.stage
+    monkeypatch.setattr(minhash, "stage", lambda df: names.append(df.columns) or whole(df))
+    docs = made(9)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(minhash.near_duplicates(frame, 3, 85, 100)) == sorted(minhash.brute_force(docs, 3, 85, 100), key=str)
+    assert len(names) == 3 and ["a", "b"] not in names
